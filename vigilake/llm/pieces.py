@@ -199,14 +199,14 @@ class PieceCache:
 
     def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         lists = self.resolve(pieces)
         size = np.fromiter(map(len, lists), np.int32, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint16, int(size.sum()))
+        flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint16)])
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(size, dtype=np.int64) - size
         self.used += len(flat)
@@ -233,7 +233,7 @@ class PieceCache:
         """All ids of the pieces, in order."""
         ends = np.cumsum(size, dtype=np.int64)
         if not len(ends):
-            return np.zeros(0, np.uint16)
+            return np.zeros(0, np.uint32)
         where = np.arange(ends[-1], dtype=np.int64)
         where += np.repeat(at - (ends - size), size)
         return self.pool[where]

@@ -22,5 +22,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.packing import pack_digests
+
+    ship(spark)
+    return pack_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.token_counts import token_counts
+
+    ship(spark)
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts}
 ORACLE_SQL: dict[str, str] = {}
