@@ -22,6 +22,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.quality import judge
+
+    docs = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilake.llm.packing import pack_digests
 
@@ -36,5 +43,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts}
 ORACLE_SQL: dict[str, str] = {}
