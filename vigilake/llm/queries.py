@@ -43,5 +43,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
