@@ -43,11 +43,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.language import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilake.llm.near_dups import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts, "op9_language": op9_language, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
