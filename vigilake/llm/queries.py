@@ -36,6 +36,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilake.llm.token_counts import token_counts
 
@@ -57,5 +63,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op7_token_counts": op7_token_counts, "op9_language": op9_language, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op7_token_counts": op7_token_counts, "op9_language": op9_language, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
