@@ -42,6 +42,16 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+#: Fixed rules of the query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilake.llm.token_counts import token_counts
 
@@ -63,5 +73,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op7_token_counts": op7_token_counts, "op9_language": op9_language, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op6_urls": op6_urls, "op7_token_counts": op7_token_counts, "op9_language": op9_language, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
