@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigilake.session import ship, table
 
@@ -59,6 +60,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.chat import digest_conversations
+
+    hard = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(hard).alias("text"))
+    return digest_conversations(turns.union(own))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilake.llm.language import fit, held_out, predict
 
@@ -73,5 +84,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op6_urls": op6_urls, "op7_token_counts": op7_token_counts, "op9_language": op9_language, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op6_urls": op6_urls, "op7_token_counts": op7_token_counts, "op8_chat": op8_chat, "op9_language": op9_language, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
