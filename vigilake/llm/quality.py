@@ -14,6 +14,7 @@ only the base rules decide. Several labels of a document count by their mean.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -26,7 +27,7 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: At most so many labelled documents (those of the least hashes) are learned from.
-SAMPLE = 20_000
+SAMPLE = 10_000
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -195,15 +196,12 @@ def learn(rows: Sequence[dict[str, float]], poor: Sequence[bool], steps: int = 4
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionList:
     """Learn from the sample of labelled documents; labels: doc_id, quality (0 poor, 1 good)."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own, names = docs.select("doc_id", "text").join(chosen, "doc_id"), list(features())
-    got = statistics(own).select((F.col("quality") < 0.5).alias("poor"), *(c.alias(k) for k, c in features().items())).where(~base_failed_of_features()).orderBy(F.xxhash64("poor", *names)).limit(sample).collect()
-    rows = [{k: float(r[k]) for k in names} for r in got]
-    return learn(rows, [r["poor"] for r in got])
-
-
-def base_failed_of_features() -> Column:
-    """The base rules on features, which are all that is left after the projection."""
-    return (F.col("words") < 10) | (F.col("repeat_share") > 0.2)
+    # the sample's ids are few by its bound, so they go to the texts and no text is shuffled
+    own, names = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), list(features())
+    got = statistics(own).select((F.col("quality") < 0.5).alias("poor"), base_failed().alias("failed"), *(c.alias(k) for k, c in features().items())).limit(2 * sample).collect()
+    rows = sorted(tuple(r) for r in got if not r["failed"])
+    random.Random(7).shuffle(rows)
+    return learn([dict(zip(names, map(float, r[2:]), strict=True)) for r in rows], [r[0] for r in rows])
 
 
 def judge(docs: DataFrame, labels: DataFrame, rules: DecisionList | None = None) -> DataFrame:
