@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.session import ship, table
+from vigilake.session import shared_dir, ship, table
 
 
 def vocabulary(name: str) -> str:
@@ -43,6 +44,14 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.llm.warc import read_archives, write
+
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    manifest = write(table(spark, sf_dir, "pages"), folder)
+    return read_archives(manifest, folder).drop("target_uri")
+
+
 #: Fixed rules of the query: verdict, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -84,5 +93,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op6_urls": op6_urls, "op7_token_counts": op7_token_counts, "op8_chat": op8_chat, "op9_language": op9_language, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op5_warc": op5_warc, "op6_urls": op6_urls, "op7_token_counts": op7_token_counts, "op8_chat": op8_chat, "op9_language": op9_language, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
