@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,5 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, written as a table in the shared folder and read again: lineage is cut and lost executors cost no recomputation."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
