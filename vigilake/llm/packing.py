@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from vigilake.llm import pieces as P
 
 HORIZON = 1 << 19
-SENTENCE, INSIDE, STEP = 8.0, 64.0, 512  # penalties in tokens of padding; tokens between cuts in long sentences
+SENTENCE, INSIDE, STEP = 8.0, 64.0, 512  # at a capacity of SCALE: penalties in tokens of padding; tokens between cuts in long sentences
+SCALE = 4096
 
 
 class WordCoder:
@@ -82,7 +83,7 @@ def plan(cuts: list[int], penalty: list[float], capacity: int, closed: bool) ->
     cuts: increasing, from 0, at most capacity apart. closed: the last cut is an end that must be met;
     otherwise the plan stops at the cheapest cut of the last capacity.
     """
-    n = len(cuts)
+    n, scale = len(cuts), capacity / SCALE
     best, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (best[i] + cut, i), increasing
     sizes = [1 << k for k in range(capacity.bit_length()) if 1 << k < capacity]
@@ -95,8 +96,8 @@ def plan(cuts: list[int], penalty: list[float], capacity: int, closed: bool) ->
         cost = key + capacity - at
         for size in sizes:
             k = where.get(at - size, -1)
-            if k >= 0 and best[k] + SHORT[size] < cost:
-                cost, i = best[k] + SHORT[size], k
+            if k >= 0 and best[k] + SHORT[size] * scale < cost:
+                cost, i = best[k] + SHORT[size] * scale, k
         best[j], back[j] = cost + penalty[j], i
         key = best[j] + at
         while queue and queue[-1][0] >= key:
@@ -114,14 +115,14 @@ def plan(cuts: list[int], penalty: list[float], capacity: int, closed: bool) ->
 
 
 #: A short sequence has no padding but costs a sequence of its own: the shorter it is, the more.
-SHORT = {1 << k: 6.0 * (13 - k) for k in range(31)}
+SHORT = {1 << k: max(0.0, 6.0 * (13 - k)) for k in range(31)}
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, capacity: int, final: bool) -> tuple[list[int], list[float]]:
     """Cuts and their penalties in a run of documents. doc_ends: positions after each document's last id."""
     marks = np.flatnonzero(sentence[ids]) + 1
     marks = marks[marks <= len(ids)]
-    step = min(STEP, capacity)
+    step = max(1, STEP * capacity // SCALE)
     at = np.unique(np.concatenate([[0], doc_ends, marks, [len(ids)]]))
     gaps = np.flatnonzero(np.diff(at) > step)
     at = np.unique(np.concatenate([at, *(np.arange(at[g] + step, at[g + 1], step) for g in gaps)]))
@@ -132,8 +133,8 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, capa
                 end -= 1 << k
                 extra.append(end)
         at = np.unique(np.concatenate([at, [x for x in extra if x > 0]])).astype(np.int64)
-    cost = np.full(len(at), INSIDE)
-    cost[np.isin(at, marks)] = SENTENCE
+    cost = np.full(len(at), INSIDE * capacity / SCALE)
+    cost[np.isin(at, marks)] = SENTENCE * capacity / SCALE
     cost[np.isin(at, doc_ends)] = 0.0
     cost[0] = 0.0
     return at.tolist(), cost.tolist()
