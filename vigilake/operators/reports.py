@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.json import compact, or_unavailable, parse_cascade
+from vigilake.session import broadcast_if_small
 
 
 def report_counts(reports: DataFrame, terms: DataFrame) -> DataFrame:
@@ -14,8 +15,11 @@ def report_counts(reports: DataFrame, terms: DataFrame) -> DataFrame:
     reports: case_id, drug, term. terms: question, pt, term (term = pt for the preferred one).
     total_combined counts a case once for each term, as the source does; n_cases counts it once.
     """
-    hits = reports.withColumn("key", F.lower("term")).drop("term").join(terms.select("question", F.lower("term").alias("key"), (F.lower("term") == F.lower("pt")).alias("is_pt")).distinct(), "key")
-    each = hits.groupBy("drug", "question", "key", "is_pt").agg(F.countDistinct("case_id").alias("n"))
+    asked = terms.select("question", F.lower("term").alias("key"), (F.lower("term") == F.lower("pt")).alias("is_pt")).distinct()
+    hits = reports.withColumn("key", F.lower("term")).drop("term").join(broadcast_if_small(asked), "key")
+    # one shuffle of distinct rows serves both counts
+    hits = hits.select("drug", "question", "key", "is_pt", "case_id").distinct()
+    each = hits.groupBy("drug", "question", "key", "is_pt").agg(F.count("case_id").alias("n"))
     sums = each.groupBy("drug", "question").agg(F.coalesce(F.sum(F.when(F.col("is_pt"), F.col("n"))), F.lit(0)).alias("total_pt"), F.sum("n").alias("total_combined"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_pt"), F.struct("key", "n")))), lambda x: F.concat(F.lit("  '"), x["key"], F.lit("': "), x["n"].cast("string"), F.lit(" casos"))), "\n").alias("lines"))
     once = hits.groupBy("drug", "question").agg(F.countDistinct("case_id").alias("n_cases"))
     return sums.join(once, ["drug", "question"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import S, W, _real, matching_terms, unaccent
+from vigilake.session import broadcast_if_small
 
 #: Up to so many terms are compiled.
 COMPILED = 200
@@ -39,7 +40,7 @@ def _joined(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> Da
     keyed = terms.where(F.col("term").isNotNull() & ~F.col("term").rlike(rf"\A{S}*\z")).select("term", first.alias("word"), _pattern(F.col("term")).alias("exact"), _pattern(folded).alias("loose")).distinct()
     own = docs.select(id_col, F.col(text_col).alias("text"))
     words = own.select(id_col, F.explode(F.array_distinct(F.split(unaccent(F.lower("text")), rf"[^\p{{L}}\p{{N}}_]+"))).alias("word"))
-    candidates = words.join(keyed.where("word != ''"), "word").select(id_col, "term", "exact", "loose").distinct()
+    candidates = words.join(broadcast_if_small(keyed.where("word != ''")), "word").select(id_col, "term", "exact", "loose").distinct()
     # a term without a word character has no first word and is compared with every text
     odd = own.select(id_col).join(keyed.where("word = ''").select("term", "exact", "loose"), F.lit(True)) if keyed.where("word = ''").limit(1).count() else None
     candidates = candidates.unionByName(odd) if odd is not None else candidates

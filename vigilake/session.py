@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only used where the session does not set its own.
 DEFAULTS = {
@@ -62,5 +63,10 @@ def settled(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def broadcast_if_small(rows: DataFrame, most: int = 20_000) -> DataFrame:
+    """rows with a broadcast hint if they are few (counted up to the bound); otherwise the join is left to the optimizer."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
