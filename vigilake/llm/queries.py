@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.llm import oracle
 from vigilake.session import shared_dir, ship, table
 
 
@@ -94,4 +95,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_vectors": op4_vectors, "op5_warc": op5_warc, "op6_urls": op6_urls, "op7_token_counts": op7_token_counts, "op8_chat": op8_chat, "op9_language": op9_language, "op10_minhash": op10_minhash}
-ORACLE_SQL: dict[str, str] = {}
+#: Learned, sketched and tokenizing operators can't be expressed; they are tested against libraries and brute force.
+ORACLE_SQL: dict[str, str] = {"op4_vectors": oracle.OP4, "op5_warc": oracle.OP5, "op6_urls": oracle.op6(URL_RULES), "op8_chat": oracle.OP8}
