@@ -67,7 +67,9 @@ def brute_classes(rows):
         for b in counts:
             if a < b and (common := counts[a].keys() & counts[b].keys()):
                 x, y = counts[a], counts[b]
-                if len(common) / min(len(x), len(y)) > 0.3 and sum(1 / sum(max(x[k] / x[c], y[k] / y[c]) for k in x.keys() | y.keys()) for c in common) >= 0.8:
+                if max(x.values()) == max(y.values()) == 1:  # the plain Jaccard index
+                    links += [(a, b)] if len(common) >= 0.8 * len(x.keys() | y.keys()) else []
+                elif len(common) / min(len(x), len(y)) > 0.3 and sum(1 / sum(max(x[k] / x[c], y[k] / y[c]) for k in x.keys() | y.keys()) for c in common) >= 0.8:
                     links.append((a, b))
     return union_find(counts, links)
 

@@ -8,9 +8,10 @@
 3. Bands of ``ROWS`` registers are bucket keys. Classes in a bucket are compared with the bucket's least class and
    buckets of up to ``SMALL`` with one another. Pairs that pass a sketch filter are verified on the exact
    shingle multisets, and components of the verified links are taken.
-4. What is left are large buckets with classes of several components. Their classes (one sketch each, in blocks) are
-   compared block by block; only pairs of different components whose sketches agree well enough come out and
-   are verified as before. So no partner is capped and no group emits all its pairs.
+4. Large buckets that hold classes of several components then get two more members by hash to compare with, and
+   what is still left is compared in full, in blocks: classes of different components, with exact
+   verification inside the task, so that only links come out. No partner is capped and no group
+   emits all its pairs.
 
 Defined results: texts are compared as words divided by ASCII blanks; a text with one to four words is one shingle;
 null texts and texts without a word are linked with nothing, equal ones included; of equal texts every row gets
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 
 from vigilake.llm import pieces as P
 from vigilake.llm.components import connected_components
-from vigilake.session import shared_dir, ship
+from vigilake.session import settled, shared_dir, ship
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS
 SMALL, BLOCK = 12, 512
-SLACK = 0.16  # a sketch estimate below SIMILARITY - SLACK is over six standard deviations away
+SLACK = 0.12  # a sketch estimate below SIMILARITY - SLACK is over four and a half standard deviations away
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -176,34 +177,63 @@ def _verified(batches):
         yield batch.select([0, 1]).filter(pa.array(good))
 
 
-def _block_pairs(batches):
-    """Rows (key, i, j, side, id, component, sketch), sorted by key, i, j: pairs of different components that may be similar."""
+def _block_links(batches):
+    """Links inside blocks. Rows (key, i, j, side, id, component, sketch, text), sorted by key, i, j.
+
+    Only classes of different components are compared: each class outside the commonest component with all others of
+    the unit at once, by one search of its shingles in theirs. One link to each other component comes out.
+    """
     now, rows = None, []
 
-    def pairs(found):
-        left = [r for r in found if r[0] == 0]
-        right = [r for r in found if r[0] == 1] or left
-        la, lc = (np.array([r[k] for r in left], np.int64) for k in (1, 2))
-        ls = np.frombuffer(b"".join(r[3] for r in left), np.uint8).reshape(-1, SIZE)
-        ra, rc = (np.array([r[k] for r in right], np.int64) for k in (1, 2))
-        rs = np.frombuffer(b"".join(r[3] for r in right), np.uint8).reshape(-1, SIZE)
-        out_a, out_b = [], []
-        for i in range(len(la)):
-            other = np.flatnonzero(rc != lc[i])
-            near = other[_agreement(rs[other], ls[i]) >= SIMILARITY - SLACK]
-            out_a += [max(int(la[i]), int(x)) for x in ra[near]]
-            out_b += [min(int(la[i]), int(x)) for x in ra[near]]
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+    def links(found):
+        split = next((k for k, r in enumerate(found) if r[0] == 1), len(found))  # rows of side 1 come last
+        ids, component = (np.array([r[k] for r in found], np.int64) for k in (1, 2))
+        sketch = np.frombuffer(b"".join(r[3] for r in found), np.uint8).reshape(-1, SIZE)
+        doc, prints, weight = shingles([r[4] for r in found])
+        edge = np.searchsorted(doc, np.arange(len(found) + 1))
+        size = np.diff(edge)
+        counted = np.add.reduceat(weight, edge[:-1]) > size  # shingles that repeat
+        names, n = np.unique(component, return_counts=True)
+        common = names[n.argmax()]
+        out = []
+        for x in np.flatnonzero(component != common).tolist():
+            # with two blocks, only across them; a pair of uncommon classes is looked at once
+            lo, hi = (0, len(found)) if split == len(found) else (split, len(found)) if x < split else (0, split)
+            near = np.zeros(len(found), bool)
+            near[lo:hi] = _agreement(sketch[lo:hi], sketch[x]) >= SIMILARITY - SLACK
+            near &= (component != component[x]) & ((component == common) | (np.arange(len(found)) > x))
+            if not near.any():
+                continue
+            own, own_weight = prints[edge[x] : edge[x + 1]], weight[edge[x] : edge[x + 1]]
+            to = np.minimum(np.searchsorted(own, prints), len(own) - 1)
+            shared = np.add.reduceat((own[to] == prints).astype(np.int64), edge[:-1])
+            score = np.where(near, shared / (size + len(own) - shared), 0.0)
+            for y in np.flatnonzero(near & (counted | counted[x])).tolist():
+                score[y] = similarity(own, own_weight, prints[edge[y] : edge[y + 1]], weight[edge[y] : edge[y + 1]])
+            good = np.flatnonzero(score >= SIMILARITY)
+            for y in good[np.unique(component[good], return_index=True)[1]].tolist():  # one link to each component
+                out.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
     for batch in batches:
         for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (key, i, j) != now and rows:
-                yield pairs(rows)
+                yield links(rows)
                 rows = []
             now = (key, i, j)
             rows.append(rest)
     if rows:
-        yield pairs(rows)
+        yield links(rows)
+
+
+def _open_buckets(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, id, component, n, first and second (two members of the bucket by hash) of large buckets that hold several components."""
+    named = held.where(F.col("n") > SMALL).select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pick = lambda seed: F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "component"))
+    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.hash("id").cast("long")).alias("s"), pick(1).alias("first"), pick(2).alias("second")).where("lo < hi")
+    # the same set of classes in several bands is looked at once
+    keys = keys.groupBy("n", "s", "lo", "hi").agg(F.min_by(F.struct("key", "first", "second"), "key").alias("x")).select("n", "x.*")
+    return named.join(keys, "key")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -236,25 +266,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = small.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.explode(F.expr("flatten(transform(slice(ids, 2, size(ids)), (x, i) -> transform(slice(ids, 2, i), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     pairs = stars.union(inner).distinct()
     own = sketch.select("id", "sketch")
-    filtered = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long")
-    links = _verify(filtered, texts).checkpoint()
-    groups = connected_components(links).checkpoint()
+    # only classes that share a bucket are compared: their texts are put aside once, in place of all texts each time
+    texts_in = settled(texts.join(held.select("id").distinct(), "id", "left_semi"))
 
-    # large buckets in which several components are left
-    large = held.where(F.col("n") > SMALL).select("key", "id")
-    named = large.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.hash("id").cast("long")).alias("s")).where("lo < hi")
-    # the same set of classes in several bands is looked at once
-    open_keys = open_keys.groupBy("n", "s", "lo", "hi").agg(F.min("key").alias("key"))
-    todo = named.join(open_keys.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-    todo = todo.join(own, "id").checkpoint()
-    if todo.limit(1).count():
-        # each pair of blocks is a task of its own; a block goes to every pair that it is part of
-        dealt = todo.select("key", "id", "component", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component", "sketch")
+    def links_of(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        return _verify(both.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long"), texts_in).checkpoint()
+
+    links = links_of(pairs)
+    groups = connected_components(links).checkpoint()
+    left = _open_buckets(held, groups).checkpoint()
+    if left.limit(1).count():
+        # large buckets with several components: each class with two more members of its bucket
+        two = left.select("id", "component", F.explode(F.array("first", "second")).alias("x")).where("component != x.component")
+        links = links.union(links_of(two.select(F.greatest("id", "x.id").alias("a"), F.least("id", "x.id").alias("b")).distinct()))
+        groups = connected_components(links).checkpoint()
+        left = _open_buckets(held, groups).checkpoint()
+    if left.limit(1).count():
+        # what is still open is compared in full; each pair of blocks is a unit of its own, and a block goes to all its pairs
+        blocked = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+        dealt = blocked.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component")
+        # a unit whose classes are all of one component has nothing to compare
+        units = dealt.groupBy("key", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "i", "j")
+        ready = dealt.join(units, ["key", "i", "j"]).join(own, "id").join(texts_in, "id").select("key", "i", "j", "side", "id", "component", "sketch", "text")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        more = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_pairs, "a long, b long").distinct()
-        found = _verify(more, texts).checkpoint()
+        found = ready.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_block_links, "a long, b long").distinct().checkpoint()
         groups = connected_components(links.union(found))
     classes = first.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("copy", F.coalesce("component", "first").alias("class_id"))
     linked = texts.select("id", copy.alias("copy")).join(classes, "copy").select("id", "class_id")
