@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vigilake.llm.components import connected_components
 from vigilake.session import shared_dir, ship
 
-MISS, BLOCK, FILL = 0.002, 512, 24
+MISS, BLOCK, FILL = 0.002, 1024, 200
 SEED = 20_240_229
 
 
@@ -48,6 +48,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     spark = vectors.sparkSession
     ship(spark)
     shared_dir(spark)
+    exact = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     valid = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     solid = rows.where(F.coalesce(valid, F.lit(False)))
@@ -57,6 +58,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     by_id = solid.groupBy("id").agg(F.min("v").alias("v"))
     classes = by_id.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")).checkpoint()
     bits, tables = plan(classes.count(), cosine)
+    short = np.int16 if bits < 15 else np.int32  # rows are repeated for each table, so they are kept small
 
     def codes(batches):
         planes = np.random.default_rng(SEED).standard_normal((dims, bits * tables))
@@ -64,11 +66,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
         for batch in batches:
             matrix = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dims)
             signs = (matrix @ planes > 0).reshape(-1, tables, bits)
-            code = (signs * powers).sum(axis=2).astype(np.int32)
+            code = (signs * powers).sum(axis=2)
             blob = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), blob(_units(matrix)), blob(code), pa.ListArray.from_arrays(np.arange(0, code.size + 1, tables, dtype=np.int32), pa.array(code.reshape(-1)))], ["c", "n", "unit", "codes", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), blob(matrix.astype(exact)), blob(code.astype(short)), pa.ListArray.from_arrays(np.arange(0, code.size + 1, tables, dtype=np.int32), pa.array(code.reshape(-1).astype(np.int32)))], ["c", "n", "vector", "codes", "list"])
 
-    coded = classes.select("c", "v", "n").mapInArrow(codes, "c long, n long, unit binary, codes binary, list array<int>").checkpoint()
+    coded = classes.select("c", "v", "n").mapInArrow(codes, "c long, n long, vector binary, codes binary, list array<int>").checkpoint()
     keys = coded.select("c", F.posexplode("list").alias("t", "code"))
     buckets = keys.groupBy("t", "code").count().where("count > 1")
     full = keys.join(buckets, ["t", "code"]).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), F.col("blocks")))
@@ -82,8 +84,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
         def unit(table):
             side = np.array([x[0] for x in held])
             c, n = (np.array([x[k] for x in held], np.int64) for k in (1, 2))
-            m = np.frombuffer(b"".join(x[3] for x in held), np.float64).reshape(-1, dims)
-            code = np.frombuffer(b"".join(x[4] for x in held), np.int32).reshape(-1, tables)
+            m = _units(np.frombuffer(b"".join(x[3] for x in held), exact).reshape(-1, dims).astype(np.float64))
+            code = np.frombuffer(b"".join(x[4] for x in held), short).reshape(-1, tables)
             left = np.flatnonzero(side == 0)
             right = np.flatnonzero(side == 1) if (side == 1).any() else left
             a, b = np.nonzero(m[left] @ m[right].T >= cosine - 1e-9)
@@ -122,7 +124,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
             yield unit(now[0])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.join(coded.select("c", "n", "unit", "codes"), "c").select("t", "code", "i", "j", "side", "c", "n", "unit", "codes")
+    ready = dealt.join(coded.select("c", "n", "vector", "codes"), "c").select("t", "code", "i", "j", "side", "c", "n", "vector", "codes")
     found = ready.repartition(parts, "t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j", "side").mapInArrow(compare, "c long, links long, to long").checkpoint()
     groups = connected_components(found.where("c != to").select("c", "to"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
