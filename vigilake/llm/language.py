@@ -91,33 +91,43 @@ def train(texts: Sequence[str], languages: Sequence[str]) -> Model:
     model = Model(names, np.ones(SIZE, np.float32), np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64), np.zeros(0))
     if not names:
         return model
-    parts = [(counts(texts[a:b]), b - a) for a, b in P.chunks(texts)]
-    frequency = np.zeros(SIZE)
-    for (_, feature, _, _), _ in parts:
+    # one matrix, filled and scaled in place: the driver's memory holds it once (rows by language, so parts are views)
+    order = np.argsort(np.array([names.index(x) for x in languages]), kind="stable")
+    texts = [texts[i] for i in order]
+    number = np.array([names.index(languages[i]) for i in order])
+    vectors, lettered, frequency = np.zeros((len(texts), SIZE), np.float32), np.zeros(len(texts), bool), np.zeros(SIZE)
+    for a, b in P.chunks(texts, 1 << 18):
+        doc, feature, n, letters = counts(texts[a:b])
+        vectors[a + doc, feature] = 1 + np.log(n)
+        lettered[a:b] = letters > 0
         frequency += np.bincount(feature, minlength=SIZE)
     model.idf = (np.log((1 + len(texts)) / (1 + frequency)) + 1).astype(np.float32)
-    vectors = np.concatenate([model.vectors(d, f, n, size) for (d, f, n, _), size in parts])
-    lettered = np.concatenate([x[3] for x, _ in parts]) > 0
-    number = np.array([names.index(x) for x in languages])
+    for a in range(0, len(texts), 512):
+        part = vectors[a : a + 512]
+        part *= model.idf
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
     means, owner = [], []
     for k in range(len(names)):
-        own = vectors[(number == k) & lettered]
-        if not len(own):
+        own, real = vectors[slice(*np.searchsorted(number, [k, k + 1]))], lettered[number == k]
+        if not real.any():
             continue
         # k-means from spread seeds: each next seed is the vector farthest from those chosen
-        seeds = [own.mean(axis=0)]
-        for _ in range(min(CENTROIDS, len(own)) - 1):
-            seeds.append(own[int((own @ np.stack(seeds).T).max(axis=1).argmin())])
+        seeds = [own.sum(axis=0) / real.sum()]
+        for _ in range(min(CENTROIDS, int(real.sum())) - 1):
+            seeds.append(own[int(np.where(real, (own @ np.stack(seeds).T).max(axis=1), np.inf).argmin())])
         center = np.stack(seeds)
         for _ in range(ROUNDS):
             to = (own @ center.T).argmax(axis=1)
-            center = np.stack([own[to == c].mean(axis=0) if (to == c).any() else center[c] for c in range(len(center))])
+            member = ((to[:, None] == np.arange(len(center))) & real[:, None]).astype(np.float32)
+            center = np.where(member.any(axis=0)[:, None], member.T @ own, center)
             center /= np.maximum(np.linalg.norm(center, axis=1, keepdims=True), 1e-12)
         # a cluster of a few odd texts is no typical form of the language
-        size = np.bincount((own @ center.T).argmax(axis=1), minlength=len(center))
-        center = center[size >= max(1, 0.01 * len(own))]
+        size = np.bincount((own @ center.T).argmax(axis=1)[real], minlength=len(center))
+        center = center[size >= max(1, 0.01 * real.sum())]
         means.append(center)
         owner += [k] * len(center)
+    if not means:
+        return model
     model.centroids, model.owner = np.concatenate(means).astype(np.float32), np.array(owner)
     got, near = model.nearest(vectors)
     model.limit = np.array([MARGIN * np.quantile(near[(number == k) & (got == k) & lettered], QUANTILE) if ((number == k) & (got == k) & lettered).any() else 0.0 for k in range(len(names))])
