@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilake.functions import arrays, json, text
+from vigilake.operators import terms
 
 
 def one(spark, value, f, kind="string"):
@@ -40,6 +41,47 @@ def test_terms(spark, value, terms, expected):
     assert one(spark, value, lambda c: text.contains_any(c, terms)) == bool(expected)
 
 
+BEYOND_LATIN = [
+    ("肺 がん です", "がん", True),
+    ("肺 かん です", "がん", True),
+    ("肺 がん です", "がん", True),
+    ("肺 がんの", "がん", False),
+    ("약 한국 약", "한국", True),
+    ("약 한국 약", unicodedata.normalize("NFD", "한국"), True),
+    (unicodedata.normalize("NFD", "약 한국 약"), "한국", True),
+    ("약 한국어 약", "한국", False),
+    ("약 각 약", "가", False),
+    ("ক কো ক", unicodedata.normalize("NFD", "কো"), True),
+    ("ſing a ſong", "sing", True),
+    ("ΟΔΟΣ", "οδος", True),
+    ("cafe\u0301s", "cafe", True),
+    ("été", "e\u0301te", True),
+    ("kilo \u212a", "k", True),
+    ("x", "한국", False),
+]
+
+
+def test_terms_beyond_latin(spark):
+    docs = spark.createDataFrame([(i, value) for i, (value, _, _) in enumerate(BEYOND_LATIN)], "doc_id long, text string").cache()
+    names = list(dict.fromkeys(term for _, term, _ in BEYOND_LATIN))
+    found = {r["doc_id"]: r for r in docs.select("doc_id", *(f(F.col("text"), [t]).alias(f"{k}{i}") for i, t in enumerate(names) for k, f in (("any", text.contains_any), ("all", text.matching_terms), ("first", text.first_fragment)))).collect()}
+    # 200 terms are compiled, 201 joined
+    compiled, joined = ({(r["doc_id"], r["term"]) for r in terms.match_terms(docs, [*names, *(f"none{i}" for i in range(n - len(names)))]).collect()} for n in (terms.COMPILED, terms.COMPILED + 1))
+    for i, (value, term, hit) in enumerate(BEYOND_LATIN):
+        k = names.index(term)
+        assert [found[i][f"{x}{k}"] for x in ("any", "all", "first")] == [hit, [term] * hit, value * hit], (value, term)
+        assert ((i, term) in compiled) is hit, (value, term)
+    assert joined == compiled
+
+
+def test_folds_agree(spark):
+    r = random.Random(5)
+    pool = "aÉſıςΣµßK각가힣ᄒ한がカ゛≠ỗকোொ \u0301\u3099豈"
+    rows = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    for x in spark.createDataFrame([(x,) for x in rows], "x string").select("x", text.match_fold(F.col("x")).alias("y")).collect():
+        assert x["y"] == text.match_key(x["x"])
+
+
 def test_mention_is_a_substring(spark):
     assert one(spark, "xIBUprofeno", lambda c: text.mentions(c, "ibuprofeno"))
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.text import S, W, _real, matching_terms, unaccent
+from vigilake.functions.text import S, W, _real, match_fold, matching_terms
 from vigilake.session import broadcast_if_small
 
 #: Up to so many terms are compiled.
@@ -35,17 +35,20 @@ def _pattern(term: Column) -> Column:
 
 
 def _joined(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    folded = unaccent(F.lower(F.col("term")))
-    first = F.regexp_extract(folded, rf"({W}+)", 1)
+    folded = match_fold(F.col("term"))
+    # marks end a word in the text as it is, but not without them: both first words lead to candidates
+    first = F.explode(F.array_distinct(F.array(*(F.regexp_extract(x, rf"({W}+)", 1) for x in (folded, match_fold(F.col("term"), marks=True))))))
     keyed = terms.where(F.col("term").isNotNull() & ~F.col("term").rlike(rf"\A{S}*\z")).select("term", first.alias("word"), _pattern(F.col("term")).alias("exact"), _pattern(folded).alias("loose")).distinct()
     own = docs.select(id_col, F.col(text_col).alias("text"))
-    words = own.select(id_col, F.explode(F.array_distinct(F.split(unaccent(F.lower("text")), rf"[^\p{{L}}\p{{N}}_]+"))).alias("word"))
+    cut = lambda x: F.split(x, r"[^\p{L}\p{N}_]+")
+    marked = F.when(F.col("text").rlike(r"\p{Mn}"), cut(match_fold(F.col("text"), marks=True))).otherwise(F.array().cast("array<string>"))
+    words = own.select(id_col, F.explode(F.array_union(cut(match_fold(F.col("text"))), marked)).alias("word"))
     candidates = words.join(broadcast_if_small(keyed.where("word != ''")), "word").select(id_col, "term", "exact", "loose").distinct()
     # a term without a word character has no first word and is compared with every text
     odd = own.select(id_col).join(keyed.where("word = ''").select("term", "exact", "loose"), F.lit(True)) if keyed.where("word = ''").limit(1).count() else None
     candidates = candidates.unionByName(odd) if odd is not None else candidates
     hit = F.expr("text rlike exact") | F.expr("folded rlike loose")
-    return candidates.join(own.withColumn("folded", unaccent(F.lower("text"))), id_col).where(hit).select(id_col, "term")
+    return candidates.join(own.withColumn("folded", match_fold(F.col("text"))), id_col).where(hit).select(id_col, "term")
 
 
 def term_counts(pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
