@@ -3,10 +3,11 @@
 import collections
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from vigilake.llm import near_dups, vectors
+from vigilake.llm import near_dups, oracle, vectors
 from vigilake.llm.components import connected_components
 
 
@@ -133,3 +134,18 @@ def test_op4(spark, monkeypatch):
 
 def test_op4_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_op4_lengths(spark):
+    """Vectors are linked within each length, as OP4 does."""
+    r = np.random.default_rng(5)
+    rows = []
+    for dims in (32, 8, 16, 1):
+        base = r.standard_normal((6, dims))
+        rows += [[float(np.float32(x)) for x in v] for v in np.concatenate([base, base, base + 0.005 * r.standard_normal(base.shape)])]
+    rows = [(i, v) for i, v in enumerate([*rows, [3.0, 4.0], [3.0, 4.0], [1.0, 2.0, 3.0]])] + [(-1, [0.0] * 8), (-2, None), (-3, [None] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", frame.toArrow())
+    got = vectors.near_duplicates(frame).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(tuple(x) for x in got) == sorted(con.execute(oracle.OP4).fetchall())

@@ -8,10 +8,13 @@ agree, so no pairs are shuffled to remove repetitions: each unit gives, for each
 links to and one edge to a smaller linked class in place of all its links. Components of these edges are the components of
 all links, because every link's two ends are joined inside some unit.
 
-K grows with the logarithm of the number of classes, so that a bucket of unrelated vectors stays small, and T
+Vectors are compared with those of their own length only: the length is part of a bucket's key, and each length has
+projections of its own.
+
+K grows with the logarithm of the number of classes (of all lengths), so that a bucket of unrelated vectors stays small, and T
 with it, so that a pair at the least similarity is missed with a probability of at most ``MISS`` (less above it).
 
-Defined results: a vector that is null, empty, zero, of another length than most or with null or non-finite
+Defined results: a vector that is null, empty, zero or with null or non-finite
 components has no links and is its own component; rows with equal vec_id are rows of one node (the first of its
 vectors stands for it); a null vec_id has no component; further columns are ignored.
 """
@@ -30,6 +33,8 @@ from vigilake.session import shared_dir, ship
 
 MISS, BLOCK, FILL = 0.002, 1024, 200
 SEED = 20_240_229
+#: Lengths whose projections a task holds at once; they are made again from the seed.
+HELD = 8
 
 
 def plan(classes: int, cosine: float) -> tuple[int, int]:
@@ -43,6 +48,12 @@ def _units(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
+def _by_length(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The batch in parts of vectors (column 1) of one length; without rows, none."""
+    size = np.diff(batch.column(1).offsets.to_numpy())
+    return [batch.filter(pa.array(size == n)) for n in np.unique(size)]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row for each row of vectors: id_col, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -52,36 +63,37 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     valid = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     solid = rows.where(F.coalesce(valid, F.lit(False)))
-    common = solid.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = common[0] if common else 1
-    solid = solid.where(F.size("v") == dims)
     by_id = solid.groupBy("id").agg(F.min("v").alias("v"))
     classes = by_id.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")).checkpoint()
     bits, tables = plan(classes.count(), cosine)
     short = np.int16 if bits < 15 else np.int32  # rows are repeated for each table, so they are kept small
 
     def codes(batches):
-        planes = np.random.default_rng(SEED).standard_normal((dims, bits * tables))
-        powers = (1 << np.arange(bits, dtype=np.int64))
-        for batch in batches:
+        powers, planes = (1 << np.arange(bits, dtype=np.int64)), {}
+        for batch in (part for whole in batches for part in _by_length(whole)):
+            dims = len(batch.column(1)[0])
             matrix = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dims)
-            signs = (matrix @ planes > 0).reshape(-1, tables, bits)
+            if dims not in planes:
+                if len(planes) == HELD:
+                    planes.clear()
+                planes[dims] = np.random.default_rng(SEED).standard_normal((dims, bits * tables))
+            signs = (matrix @ planes[dims] > 0).reshape(-1, tables, bits)
             code = (signs * powers).sum(axis=2)
             blob = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), blob(matrix.astype(exact)), blob(code.astype(short)), pa.ListArray.from_arrays(np.arange(0, code.size + 1, tables, dtype=np.int32), pa.array(code.reshape(-1).astype(np.int32)))], ["c", "n", "vector", "codes", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.full(len(matrix), dims, np.int32)), blob(matrix.astype(exact)), blob(code.astype(short)), pa.ListArray.from_arrays(np.arange(0, code.size + 1, tables, dtype=np.int32), pa.array(code.reshape(-1).astype(np.int32)))], ["c", "n", "dims", "vector", "codes", "list"])
 
-    coded = classes.select("c", "v", "n").mapInArrow(codes, "c long, n long, vector binary, codes binary, list array<int>").checkpoint()
-    keys = coded.select("c", F.posexplode("list").alias("t", "code"))
-    buckets = keys.groupBy("t", "code").count().where("count > 1")
-    full = keys.join(buckets, ["t", "code"]).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), F.col("blocks")))
-    dealt = full.select("c", "t", "code", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("c", "t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    coded = classes.select("c", "v", "n").mapInArrow(codes, "c long, n long, dims int, vector binary, codes binary, list array<int>").checkpoint()
+    keys = coded.select("c", "dims", F.posexplode("list").alias("t", "code"))
+    buckets = keys.groupBy("dims", "t", "code").count().where("count > 1")
+    full = keys.join(buckets, ["dims", "t", "code"]).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("c"), F.col("blocks")))
+    dealt = full.select("c", "dims", "t", "code", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("c", "dims", "t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
 
     def compare(batches):
         """Rows (c, links, to): links found in one unit, and the least linked class of each."""
         now, held = None, []
 
-        def unit(table):
+        def unit(dims, table):
             side = np.array([x[0] for x in held])
             c, n = (np.array([x[k] for x in held], np.int64) for k in (1, 2))
             m = _units(np.frombuffer(b"".join(x[3] for x in held), exact).reshape(-1, dims).astype(np.float64))
@@ -114,18 +126,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([c[some], pair[:, 0]])), pa.array(np.concatenate([links[some], np.zeros(len(pair), np.int64)])), pa.array(np.concatenate([to[some], pair[:, 1]]))], ["c", "links", "to"])
 
         for batch in batches:
-            for t, code, i, j, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (t, code, i, j) != now and now is not None:
-                    yield unit(now[0])
+            for dims, t, code, i, j, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (dims, t, code, i, j) != now and now is not None:
+                    yield unit(*now[:2])
                     held = []
-                now = (t, code, i, j)
+                now = (dims, t, code, i, j)
                 held.append(rest)
         if held:
-            yield unit(now[0])
+            yield unit(*now[:2])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.join(coded.select("c", "n", "vector", "codes"), "c").select("t", "code", "i", "j", "side", "c", "n", "vector", "codes")
-    found = ready.repartition(parts, "t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j", "side").mapInArrow(compare, "c long, links long, to long").checkpoint()
+    ready = dealt.join(coded.select("c", "n", "vector", "codes"), "c").select("dims", "t", "code", "i", "j", "side", "c", "n", "vector", "codes")
+    found = ready.repartition(parts, "dims", "t", "code", "i", "j").sortWithinPartitions("dims", "t", "code", "i", "j", "side").mapInArrow(compare, "c long, links long, to long").checkpoint()
     groups = connected_components(found.where("c != to").select("c", "to"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     of_class = classes.select("v", "c", "n").join(links, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left")
