@@ -4,8 +4,10 @@ import collections
 import hashlib
 import io
 import random
+from urllib.parse import urljoin
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigilake.llm import chat, url_filter, warc
 from vigilake.session import shared_dir
@@ -78,6 +80,28 @@ def test_op6(spark, monkeypatch):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_op6_targets(spark):
+    """A block goes to the page through each form of a link's target; the others name nothing that is blocked."""
+    blocked = [
+        '<link rel=canonical href="/es/p">', '<meta http-equiv=refresh content="0; url=/es/p">', '<link rel="canonical" href="//x.net/es/p">',
+        "<meta http-equiv=refresh content=0;url=/es/p>", "<meta content='0;URL=\"/es/p\"' http-equiv='Refresh'>", '<meta http-equiv="refresh" content="3, ../es/p">',
+        '<link rel="alternate canonical" href="/es/p">', '<link href="../x/.././es/p" rel="CANONICAL">', '<base href="https://y.net/es/q/"><link rel=canonical href="p">',
+        '<link rel=canonical href="https&#58;//x.net&#x2F;es/p">', '<link rel=canonical href=/es/p/>',
+    ]
+    free = ['<link rel=canonical href="">', '<link rel="notcanonical" href="/es/p">', '<link rel=canonical href="mailto:a@x.net">', '<meta http-equiv=refresh content="5">', '<link rel=canonical href="es/p">', '<link rel=canonical data-href="/es/p">', '<link rel=canonical href="?u=http://x.net/es/p">']
+    rows = [(i, f"https://x.net/a{i}/b?q", h) for i, h in enumerate(blocked + free)]
+    rows += [(100, "https://z.net/1", '<link rel=canonical href="/2?a=1&amp;b=2">'), (101, "https://z.net/2?a=1&b=2", '<link rel=canonical href="https://x.net/es/p">')]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert [got[i]["verdict"] for i in range(len(blocked + free))] == ["block"] * len(blocked) + ["allow"] * len(free)
+    assert got[100]["verdict"] == got[101]["verdict"] == "block" and got[100]["alias_of"] == got[101]["alias_of"]
+
+
+def test_resolve(spark):
+    refs = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "g?y/../x", "g#s/../x"]
+    got = spark.createDataFrame([(x,) for x in refs], "x string").select("x", url_filter.resolve(F.lit("http://a/b/c/d?q"), F.col("x")).alias("y")).collect()
+    assert {r["x"]: r["y"] for r in got} == {x: urljoin("http://a/b/c/d?q", x) for x in refs}
+
+
 def test_chat_round_trip():
     r, alphabet = random.Random(2), "<|>\\ turndosay\n</s>[INST]é"
     for _ in range(2000):

@@ -13,7 +13,7 @@ repeated rows each give a row; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,19 +56,66 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFram
     return pages.join(best, ["host", "path"], "left")
 
 
-def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) between a page's url and what its canonical link or meta refresh names (absolute urls only)."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.transform(
-        F.filter(tags, lambda t: t.rlike(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b")),
-        lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-    )
-    refresh = F.transform(
-        F.filter(tags, lambda t: t.rlike(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b")),
-        lambda t: F.regexp_extract(t, r"(?is)\bcontent\s*=\s*[\"'][^\"']*?url\s*=\s*([^\"'\s>]+)", 1),
+#: Characters that urls in attributes may have as references, with their names; & comes last, so that nothing is decoded twice.
+REFERENCES = {'"': "quot", "'": "apos", "<": "lt", ">": "gt", **dict.fromkeys("/:?=;"), "&": "amp"}
+
+
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once and not repeated in the plan."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The attribute's value, quoted or not, references decoded and outer blanks removed; empty without one."""
+    value = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)", 1)
+    value = F.regexp_replace(value, r"(?s)\A([\"'])(.*)\1\z", "$2")
+    for c, named in REFERENCES.items():
+        value = F.regexp_replace(value, rf"&(?:{f'{named}|' if named else ''}#0*{ord(c)}|#[xX]0*(?i:{ord(c):x}));", c)
+    return F.regexp_replace(F.regexp_replace(value, r"\A\s+|\s+\z", ""), r"[\t\n\r]", "")
+
+
+def resolve(url: Column, ref: Column) -> Column:
+    """The url that ref names in a page at url; null if ref is empty, of a scheme without "://", or url has no "://"."""
+    return _bound(url, lambda u: _bound(ref, lambda r: _resolved(u, r)))
+
+
+def _resolved(url: Column, ref: Column) -> Column:
+    part = lambda x, i: F.regexp_extract(x, r"(?s)\A([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?\z", i)
+    origin, path = F.concat(part(url, 1), part(url, 2)), part(url, 3)
+    own, tail = (F.regexp_extract(ref, r"(?s)\A([^?#]*)(.*)\z", i) for i in (1, 2))
+    folder = F.regexp_extract(F.concat(path, F.when(path == "", "/").otherwise("")), r"(?s)\A(.*/)", 1)
+    whole = F.concat(F.when(own.startswith("/"), "").otherwise(folder), own)
+    # . and .. go, a last one leaves its slash
+    steps = F.split(F.regexp_replace(whole, r"(?s)(/\.\.?)\z", "$1/"), "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+    kept = _bound(steps, lambda all_: F.aggregate(F.slice(all_, 2, F.size(all_)), F.array(F.lit("")), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))))
+    named = (
+        F.when(ref.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(ref.rlike(r"\A[^:]+://"), ref))
+        .when(ref.startswith("//"), F.concat(part(url, 1), ref))
+        .when(ref.startswith("?"), F.concat(origin, path, ref))
+        .when(ref.startswith("#"), F.concat(origin, path, part(url, 4), ref))
+        .otherwise(F.concat(origin, F.array_join(kept, "/"), tail))
     )
-    found = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv")).select(F.col(url_col).alias("a"), F.explode(F.concat(canonical, refresh)).alias("b"))
-    return found.where(F.col("a").contains("://") & F.col("b").contains("://"))
+    return F.when(url.contains("://") & (ref != ""), named)
+
+
+def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Edges (a, b) between a page's url and what its canonical links and meta refreshes name, resolved against its base or url."""
+    tags = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)canonical|refresh"))
+    base = _attribute(F.regexp_extract(F.col(html_col), r"(?is)<base\b[^>]*[\s\"'/]href\s*=[^>]*>", 0), "href")
+
+    def named(t):
+        canonical = t.rlike(r"(?i)\A<link") & F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical")
+        refresh = t.rlike(r"(?i)\A<meta") & (F.lower(_attribute(t, "http-equiv")) == "refresh")
+        # a time, then the target with or without url= before it, in quotes of its own or not
+        target = F.regexp_extract(_attribute(t, "content"), r"(?is)\A(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|.*?\burl\s*=\s*)(.*)\z", 1)
+        bare = lambda x: F.when(x.rlike(r"\A[\"']"), F.regexp_extract(x, r"(?s)\A([\"'])(.*?)(?:\1|\z)", 2)).otherwise(x)
+        return F.when(canonical, _attribute(t, "href")).when(refresh, _bound(target, bare))
+
+    # all inside one expression, which is not repeated as a filter on its result would repeat it
+    targets = _bound(F.coalesce(resolve(F.col(url_col), base), F.col(url_col)), lambda at: F.filter(F.transform(tags, lambda t: resolve(at, named(t))), lambda b: b.isNotNull()))
+    found = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv") & F.col(url_col).contains("://"))
+    return found.select(F.col(url_col).alias("a"), F.explode(targets).alias("b"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
