@@ -110,6 +110,60 @@ def test_op10_loose_group(spark, monkeypatch):
     assert {x["doc_id"]: x["class_id"] for x in got} == brute_classes(rows)
 
 
+def test_op10_graded_group(spark, monkeypatch):
+    """Members at all distances from one text, in a group far beyond a block, with equal rows and long texts."""
+    monkeypatch.setattr(near_dups, "BLOCK", 100)
+    r = random.Random(12)
+    base = [f"x{r.randint(0, 9999)}" for _ in range(120)]
+    rows = []
+    for k in range(2000):
+        own = base[:]
+        for i in r.sample(range(120), k % 12):
+            own[i] = f"y{r.randint(0, 99999)}"
+        rows.append((k, " ".join(own)))
+    rows += rows[:5] + [(5000 + k, " ".join(f"z{i % 9000}" for i in range(20000)) + f" end{k}") for k in range(3)]
+    got = {x["doc_id"]: x["class_id"] for x in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # brute force with sets: no shingle repeats in these texts but in the long ones, which are near one another only
+    sets = {i: {hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)} for i, text in rows[:2000] for w in [text.split()]}
+    names = sorted(set().union(*sets.values()))
+    where = {x: k for k, x in enumerate(names)}
+    m = np.zeros((2000, len(names)), np.float32)
+    for i, own in sets.items():
+        m[i, [where[x] for x in own]] = 1
+    common, size = m @ m.T, m.sum(axis=1)
+    links = np.argwhere(np.triu(common / (size[:, None] + size - common) >= 0.8, 1)).tolist()
+    expected = union_find(range(2000), links)
+    assert {i: got[i] for i in range(2000)} == expected
+    assert 1 < len(set(expected.values())) < 2000 and [got[5000 + k] for k in range(3)] == [5000] * 3
+
+
+def test_op10_texts_of_one_id(spark):
+    """Rows of one id are one document; its texts' groups are one."""
+    r = random.Random(13)
+    a, b, c = (" ".join(f"{n}{r.randint(0, 9999)}" for _ in range(40)) for n in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (5, a), (7, c), (8, c + " more"), (8, b), (11, "alone here"), (None, a)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {x["doc_id"]: x["class_id"] for x in got} == {5: 3, 3: 3, 9: 3, 7: 3, 8: 3, 11: 11, None: None}
+    many = [(1, f"text of its own number {k}") for k in range(300)] + [(2, "text of its own number 7"), (4, "something else altogether now")]
+    got = near_dups.near_duplicates(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert len(got) == 302 and {x["doc_id"]: x["class_id"] for x in got} == {1: 1, 2: 1, 4: 4}
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_op10_colliding_words(spark):
+    """Words whose polynomial fingerprints modulo 2**64 are equal are different words."""
+    a, b = thue_morse(2048)
+    rows = [(1, f"{a} one two three four five six seven"), (2, f"{b} one two three four five six seven"), (3, a), (4, b), (5, f"{a} one two three four five six seven eight nine ten eleven twelve")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {k: k for k in range(1, 6)}
+
+
 def test_op10_empty(spark):
     assert near_dups.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -73,6 +73,30 @@ def test_op1(docs):
     assert [r["ids"] for r in some] == [library.encode_ordinary("twice")] * 2
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+def test_colliding_pieces(spark):
+    """Pieces whose polynomial fingerprints modulo 2**64 are equal keep ids, bytes and counts of their own."""
+    many = [x for n in (1024, 2048, 4096) for x in thue_morse(n)]
+    cp, off = pieces.codepoints(many[:2])
+    assert len(set(pieces.fingerprints(cp, off[:-1], off[1:]).tolist())) == 1
+    many += [" ".join(many), " ".join(reversed(many))]
+    own = bpe.ByteBPE(RANKS)
+    library = tiktoken.Encoding("x", pat_str=PT.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for _ in range(2):  # also from the cache
+        assert [x.tolist() for x in own.encode_batch(many)] == [library.encode_ordinary(x) for x in many]
+    words = Tokenizer.from_file(WORD)
+    assert [x.tolist() for x in packing.WordCoder(WORD).encode_batch(many)] == [words.encode(x, add_special_tokens=False).ids for x in many]
+    got = token_counts.token_counts(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").repartition(3), BYTE, buckets=2).collect()
+    library = Tokenizer.from_file(BYTE)
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(library.encode(x, add_special_tokens=False).ids) for i, x in enumerate(many)}
+
+
 def test_op7(docs):
     library = Tokenizer.from_file(BYTE)
     got = sorted(map(tuple, token_counts.token_counts(docs, BYTE, 512).collect()), key=str)

@@ -8,15 +8,18 @@
 3. Bands of ``ROWS`` registers are bucket keys. Classes in a bucket are compared with the bucket's least class and
    buckets of up to ``SMALL`` with one another. Pairs that pass a sketch filter are verified on the exact
    shingle multisets, and components of the verified links are taken.
-4. Large buckets that hold classes of several components then get two more members by hash to compare with, and
-   what is still left is compared in full, in blocks: classes of different components, with exact
-   verification inside the task, so that only links come out. No partner is capped and no group
-   emits all its pairs.
+4. Larger buckets that hold classes of several components are still open. Those that share classes are taken
+   together as one group (or one by one, where that is less work), so that classes that meet in forty bands are
+   compared once. Members are first compared with a few of the group, chosen by hash. Then the members outside the
+   group's largest component, its stragglers, are compared in full with all of it, in blocks: by their sketches, then
+   by their shingles, inside the task, so that only links come out. No partner is capped and no group emits its pairs.
+
+Words are told apart by their text; a shingle is known by 64 bits mixed from 64-bit hashes (xxh3) of its words.
 
 Defined results: texts are compared as words divided by ASCII blanks; a text with one to four words is one shingle;
 null texts and texts without a word are linked with nothing, equal ones included; of equal texts every row gets
-the same class; rows with equal doc_id are one document; a null doc_id has class null and kept null; further
-columns are ignored. Similarity is the
+the same class; rows with equal doc_id are one document, which is similar to whatever any of its texts is similar to, and
+each of them gives a row; a null doc_id has class null and kept null; further columns are ignored. Similarity is the
 probability Jaccard index of the shingle counts, which is the plain Jaccard index where no shingle repeats.
 """
 
@@ -26,6 +29,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,9 @@ from vigilake.session import settled, shared_dir, ship
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS
-SMALL, BLOCK = 12, 512
+SMALL = 12
+#: Members that a straggler's group is first compared with; members of a block, and characters that count as one more.
+PIVOTS, BLOCK, HEAVY = 4, 512, 32_768
 SLACK = 0.12  # a sketch estimate below SIMILARITY - SLACK is over four and a half standard deviations away
 
 
@@ -49,14 +55,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: Sequence[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, shingle fingerprint, occurrences), sorted by text and fingerprint."""
+    """(text number, shingle hash, occurrences), sorted by text and hash."""
     docs, prints = [], []
     for a, b in P.chunks(texts):
         cp, off = P.codepoints(texts[a:b])
         starts, ends = P.blank_words(cp, off)
         if not len(starts):
             continue
-        h = P.fingerprints(cp, starts, ends)
+        number, lead = P.distinct(cp, starts, ends)
+        words_of = P.piece_texts(cp, starts[lead], ends[lead])
+        h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in words_of), np.uint64, len(words_of))[number]
         first = np.searchsorted(starts, off)
         n = np.diff(first)
         doc = np.repeat(np.arange(a, b), n)
@@ -127,11 +135,11 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 def _sketch_rows(batches):
+    """Rows (text, ...) to (..., bands, sketch), without texts that have no word."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts, names = batch.column(0).to_pylist(), batch.schema.names[1:]
         for a, b in P.chunks(texts, 1 << 20):
-            part = texts[a:b]
-            doc, prints, weight = shingles(part)
+            doc, prints, weight = shingles(texts[a:b])
             keep = np.unique(doc)
             if not len(keep):
                 continue
@@ -141,7 +149,7 @@ def _sketch_rows(batches):
                 keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + found[:, r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
             bands = pa.ListArray.from_arrays(np.arange(0, len(keep) * BANDS + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
             sketch = pa.array([x.tobytes() for x in found.astype(np.uint8)], pa.binary())  # a byte of each register
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(keep)), bands, sketch], ["id", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(pa.array(keep)) for c in batch.columns[1:]), bands, sketch], [*names, "bands", "sketch"])
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,63 +185,80 @@ def _verified(batches):
         yield batch.select([0, 1]).filter(pa.array(good))
 
 
-def _block_links(batches):
-    """Links inside blocks. Rows (key, i, j, side, id, component, sketch, text), sorted by key, i, j.
+def _unit_links(batches):
+    """Links inside units. Rows (unit, i, j, side, id, component, straggler, sketch, text), sorted by unit, i, j, side.
 
-    Only classes of different components are compared: each class outside the commonest component with all others of
-    the unit at once, by one search of its shingles in theirs. One link to each other component comes out.
+    Side 0 has stragglers, side 1 members; each of side 0 is compared with those of side 1 in other components (two
+    stragglers from the greater one's side only) by one search of its shingles in theirs. One link to each other
+    component comes out.
     """
     now, rows = None, []
 
     def links(found):
-        split = next((k for k, r in enumerate(found) if r[0] == 1), len(found))  # rows of side 1 come last
-        ids, component = (np.array([r[k] for r in found], np.int64) for k in (1, 2))
-        sketch = np.frombuffer(b"".join(r[3] for r in found), np.uint8).reshape(-1, SIZE)
-        doc, prints, weight = shingles([r[4] for r in found])
+        split = next((k for k, r in enumerate(found) if r[0] == 1), len(found))
+        ids, component, straggler = (np.array([r[k] for r in found], np.int64) for k in (1, 2, 3))
+        sketch = np.frombuffer(b"".join(r[4] for r in found), np.uint8).reshape(-1, SIZE)
+        doc, prints, weight = shingles([r[5] for r in found])
         edge = np.searchsorted(doc, np.arange(len(found) + 1))
-        size = np.diff(edge)
-        counted = np.add.reduceat(weight, edge[:-1]) > size  # shingles that repeat
-        names, n = np.unique(component, return_counts=True)
-        common = names[n.argmax()]
+        theirs, from_edge = slice(split, len(found)), edge[split:-1]
+        size = np.diff(edge)[theirs]
         out = []
-        for x in np.flatnonzero(component != common).tolist():
-            # with two blocks, only across them; a pair of uncommon classes is looked at once
-            lo, hi = (0, len(found)) if split == len(found) else (split, len(found)) if x < split else (0, split)
-            near = np.zeros(len(found), bool)
-            near[lo:hi] = _agreement(sketch[lo:hi], sketch[x]) >= SIMILARITY - SLACK
-            near &= (component != component[x]) & ((component == common) | (np.arange(len(found)) > x))
+        if split == len(found):
+            return out
+        counted = np.add.reduceat(weight, edge[:-1]) > np.diff(edge)  # shingles that repeat
+        base = edge[split]
+        for x in range(split):
+            near = _agreement(sketch[theirs], sketch[x]) >= SIMILARITY - SLACK
+            near &= (component[theirs] != component[x]) & ((straggler[theirs] == 0) | (ids[theirs] < ids[x]))
             if not near.any():
                 continue
             own, own_weight = prints[edge[x] : edge[x + 1]], weight[edge[x] : edge[x + 1]]
-            to = np.minimum(np.searchsorted(own, prints), len(own) - 1)
-            shared = np.add.reduceat((own[to] == prints).astype(np.int64), edge[:-1])
+            to = np.minimum(np.searchsorted(own, prints[base:]), len(own) - 1)
+            shared = np.add.reduceat((own[to] == prints[base:]).astype(np.int64), from_edge - base)
             score = np.where(near, shared / (size + len(own) - shared), 0.0)
-            for y in np.flatnonzero(near & (counted | counted[x])).tolist():
-                score[y] = similarity(own, own_weight, prints[edge[y] : edge[y + 1]], weight[edge[y] : edge[y + 1]])
-            good = np.flatnonzero(score >= SIMILARITY)
-            for y in good[np.unique(component[good], return_index=True)[1]].tolist():  # one link to each component
+            for y in np.flatnonzero(near & (counted[theirs] | counted[x])).tolist():
+                lo, hi = edge[split + y], edge[split + y + 1]
+                score[y] = similarity(own, own_weight, prints[lo:hi], weight[lo:hi])
+            good = np.flatnonzero(score >= SIMILARITY) + split
+            for y in good[np.unique(component[good], return_index=True)[1]].tolist():
                 out.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+        return out
+
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, i, j) != now and rows:
-                yield links(rows)
+        for unit, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (unit, i, j) != now and rows:
+                yield batch_of(links(rows))
                 rows = []
-            now = (key, i, j)
+            now = (unit, i, j)
             rows.append(rest)
     if rows:
-        yield links(rows)
+        yield batch_of(links(rows))
 
 
-def _open_buckets(held: DataFrame, groups: DataFrame) -> DataFrame:
-    """key, id, component, n, first and second (two members of the bucket by hash) of large buckets that hold several components."""
-    named = held.where(F.col("n") > SMALL).select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    pick = lambda seed: F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "component"))
-    keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.hash("id").cast("long")).alias("s"), pick(1).alias("first"), pick(2).alias("second")).where("lo < hi")
-    # the same set of classes in several bands is looked at once
-    keys = keys.groupBy("n", "s", "lo", "hi").agg(F.min_by(F.struct("key", "first", "second"), "key").alias("x")).select("n", "x.*")
-    return named.join(keys, "key")
+def _open_members(members: DataFrame) -> DataFrame:
+    """Those rows of members (key, id, component, ...) whose key holds several components."""
+    several = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def _units(open_rows: DataFrame) -> DataFrame:
+    """unit, id, component, heavy, straggler: whom to compare with whom. open_rows: key, grp, id, component, heavy.
+
+    A unit is a group of buckets, or each of its buckets where these have less to compare together.
+    """
+    rows = open_rows.select(F.struct("grp", "key").alias("unit"), "grp", "id", "component", "heavy").union(open_rows.select("grp", "id", "component", "heavy").distinct().select(F.struct("grp", F.lit(None).cast("long").alias("key")).alias("unit"), "grp", "id", "component", "heavy"))
+    by_component = rows.groupBy("grp", "unit", "component").agg(F.sum("heavy").alias("w"), F.count("*").alias("n"))
+    sizes = by_component.groupBy("grp", "unit").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("w").alias("all"), F.max_by("w", F.struct("n", "component")).alias("w"))
+    blocks = lambda w: F.ceil(w / BLOCK)
+    odd = F.col("all") - F.col("w")
+    sizes = sizes.select("grp", "unit", F.col("most.component").alias("most"), F.greatest(blocks(odd), F.lit(1)).cast("int").alias("rows"), blocks(F.col("all")).cast("int").alias("columns")).withColumn("cost", F.col("columns") * F.col("rows"))
+    whole = F.col("unit.key").isNull()
+    cheaper = sizes.groupBy("grp").agg((F.sum(F.when(whole, F.col("cost"))) <= F.sum(F.when(~whole, F.col("cost")))).alias("together"))
+    sizes = sizes.join(cheaper, "grp").where(F.col("together") == whole).select("unit", "most", "rows", "columns")
+    return rows.join(sizes, "unit").select("unit", "id", "component", "rows", "columns", (F.col("component") != F.col("most")).alias("straggler"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,11 +277,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     solid = F.coalesce(F.col("id").isNotNull() & (F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0), F.lit(False))
     texts = rows.where(solid)
-    copy = F.struct(F.md5("text").alias("x"), F.length("text").alias("n"))
-    first = texts.select("id", copy.alias("copy")).groupBy("copy").agg(F.min("id").alias("first")).checkpoint()
-    firsts = first.select(F.col("first").alias("id")).distinct()
+    texts = texts.select("id", "text", F.unhex(F.md5("text")).alias("copy"))
+    # a node for each different text, named by a number of its own
+    first = texts.groupBy("copy").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    named = texts.select("id", "copy").join(first.select("copy", "node"), "copy").select("id", "node").checkpoint()
+    # an id's texts are one document, so all nodes of an id are linked
+    apart = named.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("id", "b")
+    same = named.join(apart, "id").where("node > b").select(F.col("node").alias("a"), "b").distinct()
     # sketches are made before copies are dropped, so that no text is shuffled for it
-    sketch = texts.mapInArrow(_sketch_rows, "id long, bands array<long>, sketch binary").join(firsts, "id", "left_semi").dropDuplicates(["id"]).checkpoint()
+    sketch = texts.select("text", "id", "copy").mapInArrow(_sketch_rows, "id long, copy binary, bands array<long>, sketch binary")
+    sketch = sketch.join(first, ["id", "copy"]).dropDuplicates(["id", "copy"]).select(F.col("node").alias("id"), "bands", "sketch").checkpoint()
 
     keys = sketch.select("id", F.explode("bands").alias("key"))
     bucket = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b")).where("n > 1")
@@ -267,33 +297,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stars.union(inner).distinct()
     own = sketch.select("id", "sketch")
     # only classes that share a bucket are compared: their texts are put aside once, in place of all texts each time
-    texts_in = settled(texts.join(held.select("id").distinct(), "id", "left_semi"))
+    met = first.join(held.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    texts_in = settled(texts.join(met, ["id", "copy"]).dropDuplicates(["id", "copy"]).select(F.col("node").alias("id"), "text"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         both = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return _verify(both.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long"), texts_in).checkpoint()
+        return _verify(both.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long").distinct(), texts_in).checkpoint()
 
-    links = links_of(pairs)
+    def named_by(groups: DataFrame, rows: DataFrame) -> DataFrame:
+        """rows with the component of their id."""
+        return rows.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    links = links_of(pairs).union(same)
     groups = connected_components(links).checkpoint()
-    left = _open_buckets(held, groups).checkpoint()
+    large = held.where(F.col("n") > SMALL).select("key", "id")
+    left = _open_members(named_by(groups, large)).select("key", "id").checkpoint()
     if left.limit(1).count():
-        # large buckets with several components: each class with two more members of its bucket
-        two = left.select("id", "component", F.explode(F.array("first", "second")).alias("x")).where("component != x.component")
-        links = links.union(links_of(two.select(F.greatest("id", "x.id").alias("a"), F.least("id", "x.id").alias("b")).distinct()))
+        # open buckets that share classes are one group
+        star = left.join(left.groupBy("key").agg(F.min("id").alias("b")), "key")
+        together = connected_components(star.select("id", "b"))
+        group = named_by(groups, together.select(F.col("node").alias("id"), F.col("component").alias("grp"))).checkpoint()
+        heads = group.groupBy("grp").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "component")).alias(f"p{k}") for k in range(PIVOTS)))
+        few = group.join(heads, "grp").select("id", "component", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("x")).where("component != x.component")
+        links = links.union(links_of(few.select(F.greatest("id", "x.id").alias("a"), F.least("id", "x.id").alias("b")).distinct()))
         groups = connected_components(links).checkpoint()
-        left = _open_buckets(held, groups).checkpoint()
-    if left.limit(1).count():
-        # what is still open is compared in full; each pair of blocks is a unit of its own, and a block goes to all its pairs
-        blocked = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-        dealt = blocked.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component")
-        # a unit whose classes are all of one component has nothing to compare
-        units = dealt.groupBy("key", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "i", "j")
-        ready = dealt.join(units, ["key", "i", "j"]).join(own, "id").join(texts_in, "id").select("key", "i", "j", "side", "id", "component", "sketch", "text")
+        heavy = texts_in.select("id", (1 + F.length("text") / HEAVY).alias("heavy"))
+        now = _open_members(named_by(groups, left)).join(group.select("id", "grp"), "id").join(heavy, "id").checkpoint()
+        units = _units(now)
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        at = lambda n: F.pmod(F.hash("id"), F.col(n))
+        dealt = units.where("straggler").select("unit", at("rows").alias("i"), spread("columns").alias("j"), F.lit(0).alias("side"), "id", "component", "straggler")
+        dealt = dealt.union(units.select("unit", spread("rows").alias("i"), at("columns").alias("j"), F.lit(1).alias("side"), "id", "component", "straggler"))
+        ready = dealt.join(own.join(texts_in, "id"), "id").select("unit.grp", "unit.key", "i", "j", "side", "id", "component", F.col("straggler").cast("int").alias("straggler"), "sketch", "text")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = ready.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_block_links, "a long, b long").distinct().checkpoint()
+        ready = ready.repartition(parts, "grp", "key", "i", "j").sortWithinPartitions("grp", "key", "i", "j", "side")
+        found = ready.select(F.struct("grp", "key").alias("unit"), "i", "j", "side", "id", "component", "straggler", "sketch", "text").mapInArrow(_unit_links, "a long, b long").distinct().checkpoint()
         groups = connected_components(links.union(found))
-    classes = first.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("copy", F.coalesce("component", "first").alias("class_id"))
-    linked = texts.select("id", copy.alias("copy")).join(classes, "copy").select("id", "class_id")
+    classes = first.join(groups.select("node", "component"), "node", "left").select("id", "node", F.coalesce("component", "node").alias("component"))
+    least = classes.groupBy("component").agg(F.min("id").alias("class_id"))
+    linked = named.join(classes.join(least, "component").select("node", "class_id"), "node").select("id", "class_id")
     out = linked.union(rows.where(~solid).select("id", F.col("id").alias("class_id")))
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))

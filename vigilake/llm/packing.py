@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import pieces as P
+from vigilake.session import ship
 
 HORIZON = 1 << 19
 SENTENCE, INSIDE, STEP = 8.0, 64.0, 512  # at a capacity of SCALE: penalties in tokens of padding; tokens between cuts in long sentences
@@ -45,6 +46,7 @@ class WordCoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.sign = os.path.commonprefix(self.special)  # a text without it has no special string
         self.cache = P.PieceCache(lambda words: [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
@@ -58,7 +60,7 @@ class WordCoder:
     def encode_batch(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         for a, b in P.chunks(texts):
             own = [self.normal(x) for x in texts[a:b]]
-            odd = {i for i in range(b - a) if "<|" in own[i] and any(x in texts[a + i] for x in self.special)}
+            odd = {i for i in range(b - a) if self.sign in texts[a + i] and any(x in texts[a + i] for x in self.special)}
             cp, off = P.codepoints(["" if i in odd else x for i, x in enumerate(own)])
             starts, ends = P.word_pieces(cp, off)
             at, size = self.cache.look_up(cp, starts, ends)
@@ -151,6 +153,7 @@ def pack_digests(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
 
 
 def _packed(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
 
     def run(batches):

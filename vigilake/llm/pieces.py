@@ -1,4 +1,4 @@
-"""Vectorised splitting of texts into pre-tokens and 64-bit piece fingerprints.
+"""Vectorised splitting of texts into pre-tokens, and which of the pieces are equal.
 
 The split patterns of byte-level BPE ("GPT" style) and of lower-cased word BPE ("word" style) only depend
 on runs of four character classes, so the pieces of a whole batch of texts are found with a handful of
@@ -143,7 +143,7 @@ def blank_words(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fingerprints(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial fingerprints of cp[start:end]; equal pieces have equal ones wherever they stand."""
+    """64-bit polynomial fingerprints of cp[start:end]; equal pieces have equal ones wherever they stand, but so may others."""
     up, down = powers(len(cp) + 1)
     total = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum(_values()[cp] * up[: len(cp)], out=total[1:])
@@ -153,8 +153,45 @@ def fingerprints(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out ^ (out >> np.uint64(32))
 
 
-def piece_text(cp: np.ndarray, start: int, end: int) -> str:
-    return cp[start:end].tobytes().decode("utf-32-le", "surrogatepass")
+def distinct(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each piece, and the place of the first piece of each number; equal pieces and no others share one.
+
+    Fingerprints only propose groups: every piece is compared with the first of its group, code point by code point,
+    and those that differ (fingerprints can collide) are told apart by their text.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, number = np.unique(fingerprints(cp, starts, ends), return_index=True, return_inverse=True)
+    lead, size = first[number], ends - starts
+    odd = size != size[lead]
+    place = np.flatnonzero((lead != np.arange(len(lead))) & ~odd)
+    size = size[place]
+    stop = np.cumsum(size)
+    if len(stop) and stop[-1]:
+        own = np.arange(stop[-1]) + np.repeat(starts[place] - (stop - size), size)
+        wrong = np.flatnonzero(cp[own] != cp[own + np.repeat(starts[lead[place]] - starts[place], size)])
+        odd[place[np.searchsorted(stop, wrong, "right")]] = True
+    if odd.any():
+        names, more = {}, []
+        at = np.flatnonzero(odd)
+        for k, text in zip(at.tolist(), piece_texts(cp, starts[at], ends[at]), strict=True):
+            if (known := names.get(text)) is None:
+                known = names[text] = len(first) + len(more)
+                more.append(k)
+            number[k] = known
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return number, first
+
+
+def piece_texts(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The pieces as strings, decoded together."""
+    size = ends - starts
+    stop = np.cumsum(size)
+    if not len(stop):
+        return []
+    where = np.arange(stop[-1]) + np.repeat(starts - (stop - size), size)
+    text = cp[where].tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[a:b] for a, b in zip((stop - size).tolist(), stop.tolist(), strict=True)]
 
 
 def chunks(texts: Sequence[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -188,46 +225,45 @@ class Pool:
 
 
 class PieceCache:
-    """Fingerprint -> token ids, kept in sorted arrays; holds at most ``most`` pieces, then starts anew.
+    """Piece -> token ids; holds at most ``most`` pieces (or one chunk's), then starts anew.
 
     ``resolve`` turns a list of piece strings into lists of ids; it sees each piece once per filling.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[Sequence[int]]], most: int = 3_000_000):
+    def __init__(self, resolve: Callable[[list[str]], list[Sequence[int]]], most: int = 400_000):
         self.resolve, self.most = resolve, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.numbers: dict[str, int] = {}
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, pieces: list[str]) -> None:
         lists = self.resolve(pieces)
         size = np.fromiter(map(len, lists), np.int32, len(lists))
         flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(size.sum()))
+        n = len(self.numbers)
+        while n + len(pieces) > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.at[n : n + len(pieces)] = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.size[n : n + len(pieces)] = size
         self.used += len(flat)
-        to = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
+        self.numbers.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def look_up(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids lie in the pool, and how many they are."""
-        prints = fingerprints(cp, starts, ends)
-        keys, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.most and len(self.keys):
+        number, first = distinct(cp, starts, ends)
+        pieces = piece_texts(cp, starts[first], ends[first])
+        if len(self.numbers) + len(pieces) > self.most:
             self.clear()
-        to = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = to < len(self.keys)
-        known[inside] = self.keys[to[inside]] == keys[inside]
-        if not known.all():
-            new = first[~known]
-            self._add(keys[~known], [piece_text(cp, a, b) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            to = np.searchsorted(self.keys, keys)
-        return self.at[to][inverse], self.size[to][inverse]
+        if new := [x for x in pieces if x not in self.numbers]:
+            self._add(new)
+        mine = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))[number]
+        return self.at[mine], self.size[mine]
 
     def ids(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """All ids of the pieces, in order."""

@@ -1,11 +1,14 @@
 """Token counts without ids (operator 7).
 
 Documents are cut into blocks. A block's distinct pre-tokens, each with the documents of the block that hold
-it and how often, are packed into one row for each hash bucket; a bucket's rows meet in one task, where every
-distinct pre-token is counted once (its pieces under BPE) and joined to the frequencies; the products are
-summed for each document of the block. Texts and ids are never shuffled. A pre-token that many documents of a
-block hold is dealt to a bucket by pre-token and block together, so no word, however common, gathers in one
-task; it is then counted once in each bucket at most.
+it and how often, are packed into one row for each hash bucket; a bucket's rows meet in one task (each task has
+one bucket), where every distinct pre-token is counted once (its pieces under BPE) and joined to the frequencies by
+its bytes; the products are summed for each document of the block. Texts and ids are never shuffled. A pre-token
+that many documents of a block hold is dealt to a bucket by pre-token and block together, so no word, however common,
+gathers in one task; it is then counted once in each bucket at most.
+
+Rows are sorted inside their input split before blocks are cut, so that a task that is run again makes the same
+blocks in whatever order its input comes.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows and equal or null doc_id each
 give a row; further columns of the input are ignored. Special strings inside texts are single tokens, which is
@@ -20,14 +23,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import pieces as P
 from vigilake.llm.bpe import PerfectHash, merge_linked
+from vigilake.session import ship
 
 BLOCK = 4 << 20
 COMMON = 48  # documents of a block, from which a pre-token is dealt by block as well
+KNOWN = 1_000_000  # pre-tokens whose counts a task remembers before it starts anew
 
 
 class PieceCounter:
@@ -81,39 +87,37 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _frequencies(texts: list[str], buckets: int, block: int) -> list[tuple[int, bytes]]:
-    """(bucket, packed pre-tokens with their documents and frequencies) of one block."""
-    prints, docs, ways = [], [], []
+def _frequencies(texts: list[str], owner: np.ndarray, buckets: int, block: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed pre-tokens with their documents and frequencies) of one block. owner: document of each text."""
+    number_of: dict[str, int] = {}
+    cells, times = [], []
     for a, b in P.chunks(texts):
         cp, off = P.codepoints(texts[a:b])
         starts, ends = P.gpt_pieces(cp, off)
-        doc = np.searchsorted(off, starts, "right") - 1
-        h = P.fingerprints(cp, starts, ends)
-        order = np.lexsort((doc, h))
-        h, doc, starts, ends = h[order], doc[order], starts[order], ends[order]
-        edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
-        prints.append(h[edge])
-        docs.append(np.stack([doc[edge] + a, np.diff(np.append(edge, len(h)))]).astype(np.int32))
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        ways.append((h[new], [P.piece_text(cp, x, y).encode("utf-8", "replace") for x, y in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
-    h, freq = np.concatenate(prints), np.concatenate(docs, axis=1)
-    if not len(h):
+        number, first = P.distinct(cp, starts, ends)
+        mine = np.fromiter((number_of.setdefault(x, len(number_of)) for x in P.piece_texts(cp, starts[first], ends[first])), np.int64, len(first))
+        doc = owner[a:b][np.searchsorted(off, starts, "right") - 1]
+        cell, n = np.unique(mine[number] << 32 | doc, return_counts=True)
+        cells.append(cell)
+        times.append(n)
+    if not number_of:
         return []
-    order = np.argsort(h, kind="stable")
-    h, freq = h[order], freq[:, order]
-    keys, first, n = np.unique(h, return_index=True, return_counts=True)
-    text_of: dict[int, bytes] = {}
-    for own, texts_of in ways:
-        text_of.update(zip(own.tolist(), texts_of, strict=True))
-    mixed = np.where(n >= COMMON, (keys ^ np.uint64((block * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93), keys)
+    cell, n = np.concatenate(cells), np.concatenate(times)
+    order = np.argsort(cell, kind="stable")
+    piece, doc, freq = (cell[order] >> 32), (cell[order] & 0xFFFFFFFF).astype(np.int32), n[order].astype(np.int32)
+    words = [x.encode("utf-8", "replace") for x in number_of]
+    held = np.bincount(piece, minlength=len(words))
+    first = np.cumsum(held) - held
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    mixed = np.where(held >= COMMON, (keys ^ np.uint64((block * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93), keys)
     to = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     out = []
     order = np.argsort(to, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-        words = [text_of[k] for k in keys[part].tolist()]
-        size = np.fromiter(map(len, words), np.int32, len(words))
-        where = np.repeat(first[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(int(n[part].sum()))
-        out.append((int(to[part[0]]), _pack(keys[part], size, np.frombuffer(b"".join(words), np.uint8), n[part].astype(np.int32), freq[0, where], freq[1, where])))
+        own = [words[k] for k in part.tolist()]
+        size = np.fromiter(map(len, own), np.int32, len(own))
+        where = np.repeat(first[part] - (np.cumsum(held[part]) - held[part]), held[part]) + np.arange(int(held[part].sum()))
+        out.append((int(to[part[0]]), _pack(size, np.frombuffer(b"".join(own), np.uint8), held[part].astype(np.int32), doc[where], freq[where])))
     return out
 
 
@@ -124,8 +128,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     session's number of shuffle partitions.
     """
     spark = docs.sparkSession
+    ship(spark)
     parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    src = src.sortWithinPartitions(F.xxhash64("id", "text"), "id")
     id_type = src.schema[0].dataType.simpleString()
 
     def cut(batches):
@@ -153,12 +159,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 w.write_batch(batch)
             rows = [(block, -1, zlib.compress(sink.getvalue().to_pybytes(), 1))]
             # parts of a text cut at special strings count for the same document
-            owner = np.fromiter((i for i, _ in flat), np.int32, len(flat))
-            for bucket, data in _frequencies([x for _, x in flat], parts, block):
-                if len(flat) != len(whole):
-                    keys, sizes, words, n, doc, k = _unpack(data, np.uint64, np.int32, np.uint8, np.int32, np.int32, np.int32)
-                    data = _pack(keys, sizes, words, n, owner[doc], k)
-                rows.append((block, bucket, data))
+            owner = np.fromiter((i for i, _ in flat), np.int64, len(flat))
+            rows += [(block, bucket, data) for bucket, data in _frequencies([x for _, x in flat], owner, parts, block)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "bucket", "data"])
 
         part = 0
@@ -179,29 +181,24 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             yield emit(part)
 
     def join(batches):
-        """Rows (block, data): a block's documents as they are, or its sums from one bucket."""
-        own = counter(path)
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        """Rows (block, bucket, data): a block's documents as they are, or its sums from one bucket."""
+        own, known = counter(path), {}
         for batch in batches:
             blocks, out = [], []
             for block, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket >= 0:
-                    have, size, words, n, doc, k = _unpack(data, np.uint64, np.int32, np.uint8, np.int32, np.int32, np.int32)
-                    to = np.searchsorted(keys, have)
-                    known = np.zeros(len(have), bool)
-                    inside = to < len(keys)
-                    known[inside] = keys[to[inside]] == have[inside]
-                    if not known.all():
-                        ends, raw = np.cumsum(size), words.tobytes()
-                        new = np.flatnonzero(~known)
-                        found = [own.count(raw[b - s : b]) for b, s in zip(ends[new].tolist(), size[new].tolist(), strict=True)]
-                        order = np.argsort(have[new])
-                        at = np.searchsorted(keys, have[new][order])
-                        keys, counts = np.insert(keys, at, have[new][order]), np.insert(counts, at, np.array(found, np.int32)[order])
-                        to = np.searchsorted(keys, have)
-                    total = np.bincount(doc, np.repeat(counts[to], n).astype(np.float64) * k)
-                    held = np.flatnonzero(total)
-                    data = _pack(held.astype(np.int32), total[held].astype(np.int64))
+                    size, words, held, doc, k = _unpack(data, np.int32, np.uint8, np.int32, np.int32, np.int32)
+                    ends, raw = np.cumsum(size), words.tobytes()
+                    pieces = [raw[b - s : b] for b, s in zip(ends.tolist(), size.tolist(), strict=True)]
+                    if len(known) > KNOWN:
+                        known.clear()
+                    for x in pieces:
+                        if x not in known:
+                            known[x] = own.count(x)
+                    n = np.fromiter(map(known.__getitem__, pieces), np.float64, len(pieces))
+                    total = np.bincount(doc, np.repeat(n, held) * k)
+                    some = np.flatnonzero(total)
+                    data = _pack(some.astype(np.int32), total[some].astype(np.int64))
                 blocks.append(block)
                 out.append((bucket, data))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["block", "bucket", "data"])
@@ -229,7 +226,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     schema = "block long, bucket int, data binary"
     cuts = src.mapInArrow(cut, schema)
-    # a block's own documents (bucket -1) aren't a bucket; they are dealt by block
-    dealt = cuts.repartition(parts, F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket")))
+    # a bucket is a task of its own; a block's own documents (bucket -1) aren't a bucket, they are dealt by block
+    dealt = cuts.repartitionById(parts, F.when(F.col("bucket") < 0, F.pmod(F.hash("block"), F.lit(parts))).otherwise(F.col("bucket")))
     sums = dealt.mapInArrow(join, schema)
     return sums.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(add, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
