@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vigilake.llm import near_dups, oracle, vectors
+from vigilake.llm import components, near_dups, oracle, vectors
 from vigilake.llm.components import connected_components
 
 
@@ -25,13 +25,15 @@ def union_find(nodes, links):
     return {x: find(x) for x in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("native", "task"), [(True, 0), (False, 1 << 20), (False, 60)])
+def test_components(spark, monkeypatch, native, task):
+    monkeypatch.setattr(components, "TASK", task)
     r = random.Random(1)
     links = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7), (None, 3)]
-    own = connected_components(spark.createDataFrame(links, "a long, b long"))
+    own = connected_components(spark.createDataFrame(links, "a long, b long"), native=native)
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert {x["node"]: x["component"] for x in own.collect()} == union_find({x for p in real for x in p}, real)
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), native=native).count() == 0
 
 
 def test_similarity_is_the_definition():

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import pieces as P
-from vigilake.llm.components import connected_components
+from vigilake.llm.components import compact, connected_components
 from vigilake.session import settled, shared_dir, ship
 
 WORDS, SIMILARITY = 5, 0.8
@@ -238,26 +238,12 @@ def _unit_links(batches):
         yield batch_of(links(rows))
 
 
-def _open_members(members: DataFrame) -> DataFrame:
-    """Those rows of members (key, id, component, ...) whose key holds several components."""
-    several = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return members.join(several, "key", "left_semi")
-
-
-def _units(open_rows: DataFrame) -> DataFrame:
-    """unit, id, component, heavy, straggler: whom to compare with whom. open_rows: key, grp, id, component, heavy.
-
-    A unit is a group of buckets, or each of its buckets where these have less to compare together.
-    """
-    rows = open_rows.select(F.struct("grp", "key").alias("unit"), "grp", "id", "component", "heavy").union(open_rows.select("grp", "id", "component", "heavy").distinct().select(F.struct("grp", F.lit(None).cast("long").alias("key")).alias("unit"), "grp", "id", "component", "heavy"))
-    by_component = rows.groupBy("grp", "unit", "component").agg(F.sum("heavy").alias("w"), F.count("*").alias("n"))
-    sizes = by_component.groupBy("grp", "unit").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("w").alias("all"), F.max_by("w", F.struct("n", "component")).alias("w"))
-    blocks = lambda w: F.ceil(w / BLOCK)
-    odd = F.col("all") - F.col("w")
-    sizes = sizes.select("grp", "unit", F.col("most.component").alias("most"), F.greatest(blocks(odd), F.lit(1)).cast("int").alias("rows"), blocks(F.col("all")).cast("int").alias("columns")).withColumn("cost", F.col("columns") * F.col("rows"))
-    whole = F.col("unit.key").isNull()
-    cheaper = sizes.groupBy("grp").agg((F.sum(F.when(whole, F.col("cost"))) <= F.sum(F.when(~whole, F.col("cost")))).alias("together"))
-    sizes = sizes.join(cheaper, "grp").where(F.col("together") == whole).select("unit", "most", "rows", "columns")
+def _units(rows: DataFrame) -> DataFrame:
+    """unit, id, component, rows, columns, straggler: whom to compare with whom, in so many blocks. rows: unit, id, component, heavy."""
+    by_component = rows.groupBy("unit", "component").agg(F.sum("heavy").alias("w"), F.count("*").alias("n"))
+    sizes = by_component.groupBy("unit").agg(F.max_by(F.struct("component", "w"), F.struct("n", "component")).alias("most"), F.sum("w").alias("all"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+    sizes = sizes.select("unit", F.col("most.component").alias("most"), blocks(F.col("all") - F.col("most.w")).alias("rows"), blocks(F.col("all")).alias("columns"))
     return rows.join(sizes, "unit").select("unit", "id", "component", "rows", "columns", (F.col("component") != F.col("most")).alias("straggler"))
 
 
@@ -283,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = texts.select("id", "copy").join(first.select("copy", "node"), "copy").select("id", "node").checkpoint()
     # an id's texts are one document, so all nodes of an id are linked
     apart = named.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("id", "b")
-    same = named.join(apart, "id").where("node > b").select(F.col("node").alias("a"), "b").distinct()
+    same = compact(named.join(apart, "id").where("node > b").select(F.col("node").alias("a"), "b").distinct())
     # sketches are made before copies are dropped, so that no text is shuffled for it
     sketch = texts.select("text", "id", "copy").mapInArrow(_sketch_rows, "id long, copy binary, bands array<long>, sketch binary")
     sketch = sketch.join(first, ["id", "copy"]).dropDuplicates(["id", "copy"]).select(F.col("node").alias("id"), "bands", "sketch").checkpoint()
@@ -302,37 +288,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def links_of(pairs: DataFrame) -> DataFrame:
         both = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return _verify(both.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long").distinct(), texts_in).checkpoint()
+        return _verify(both.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long"), texts_in).checkpoint()
 
-    def named_by(groups: DataFrame, rows: DataFrame) -> DataFrame:
-        """rows with the component of their id."""
-        return rows.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def solved(links: DataFrame) -> DataFrame:
+        """id, component."""
+        return connected_components(links, native=False).select(F.col("node").alias("id"), "component")
 
     links = links_of(pairs).union(same)
-    groups = connected_components(links).checkpoint()
-    large = held.where(F.col("n") > SMALL).select("key", "id")
-    left = _open_members(named_by(groups, large)).select("key", "id").checkpoint()
+    groups = solved(links)
+    of_class = sketch.select("id", "bands").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("bands").alias("key"))
+    in_large = of_class.join(bucket.where(F.col("n") > SMALL).select("key"), "key")
+    open_keys = in_large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("b"), F.count("*").alias("n")).where("lo < hi").select("key", "b", "n")
+    left = compact(in_large.join(open_keys, "key").select("key", "id", "component", "b"))
     if left.limit(1).count():
         # open buckets that share classes are one group
-        star = left.join(left.groupBy("key").agg(F.min("id").alias("b")), "key")
-        together = connected_components(star.select("id", "b"))
-        group = named_by(groups, together.select(F.col("node").alias("id"), F.col("component").alias("grp"))).checkpoint()
-        heads = group.groupBy("grp").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "component")).alias(f"p{k}") for k in range(PIVOTS)))
-        few = group.join(heads, "grp").select("id", "component", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("x")).where("component != x.component")
+        grouped = compact(connected_components(left.select("id", "b"), native=False).select(F.col("node").alias("id"), F.col("component").alias("grp")))
+        members = compact(left.select("id", "component").distinct().join(grouped, "id"))
+        heads = members.groupBy("grp").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "component")).alias(f"p{k}") for k in range(PIVOTS)))
+        few = members.join(heads, "grp").select("id", "component", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("x")).where("component != x.component")
         links = links.union(links_of(few.select(F.greatest("id", "x.id").alias("a"), F.least("id", "x.id").alias("b")).distinct()))
-        groups = connected_components(links).checkpoint()
+        groups = solved(links)
         heavy = texts_in.select("id", (1 + F.length("text") / HEAVY).alias("heavy"))
-        now = _open_members(named_by(groups, left)).join(group.select("id", "grp"), "id").join(heavy, "id").checkpoint()
-        units = _units(now)
+        members = members.select("id", "grp").join(heavy, "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # a group is a unit, or each of its buckets where these have fewer pairs together
+        keys_of = left.groupBy("key", "b").agg(F.count("*").alias("n")).join(grouped.select(F.col("id").alias("b"), "grp"), "b")
+        work = keys_of.groupBy("grp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+        work = work.join(members.groupBy("grp").agg(F.count("*").cast("double").alias("n")), "grp").select("grp", (F.col("n") * F.col("n") <= F.col("apart")).alias("together"))
+        named_members = compact(members.join(work, "grp"))
+        whole = named_members.where("together").select(F.struct("grp", F.lit(None).cast("long").alias("key")).alias("unit"), "id", "component", "heavy")
+        single = left.select("key", "id").join(named_members.where("not together"), "id").select(F.struct("grp", "key").alias("unit"), "id", "component", "heavy")
+        units = compact(_units(whole.union(single)))
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         at = lambda n: F.pmod(F.hash("id"), F.col(n))
         dealt = units.where("straggler").select("unit", at("rows").alias("i"), spread("columns").alias("j"), F.lit(0).alias("side"), "id", "component", "straggler")
         dealt = dealt.union(units.select("unit", spread("rows").alias("i"), at("columns").alias("j"), F.lit(1).alias("side"), "id", "component", "straggler"))
-        ready = dealt.join(own.join(texts_in, "id"), "id").select("unit.grp", "unit.key", "i", "j", "side", "id", "component", F.col("straggler").cast("int").alias("straggler"), "sketch", "text")
+        ready = dealt.join(own, "id").join(texts_in, "id").select("unit", "i", "j", "side", "id", "component", F.col("straggler").cast("int").alias("straggler"), "sketch", "text")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ready = ready.repartition(parts, "grp", "key", "i", "j").sortWithinPartitions("grp", "key", "i", "j", "side")
-        found = ready.select(F.struct("grp", "key").alias("unit"), "i", "j", "side", "id", "component", "straggler", "sketch", "text").mapInArrow(_unit_links, "a long, b long").distinct().checkpoint()
-        groups = connected_components(links.union(found))
+        ready = ready.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "side")
+        found = ready.mapInArrow(_unit_links, "a long, b long").distinct().checkpoint()
+        groups = solved(links.union(found))
+    groups = groups.withColumnRenamed("id", "node")
     classes = first.join(groups.select("node", "component"), "node", "left").select("id", "node", F.coalesce("component", "node").alias("component"))
     least = classes.groupBy("component").agg(F.min("id").alias("class_id"))
     linked = named.join(classes.join(least, "component").select("node", "class_id"), "node").select("id", "class_id")

@@ -138,7 +138,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ready = dealt.join(coded.select("c", "n", "vector", "codes"), "c").select("dims", "t", "code", "i", "j", "side", "c", "n", "vector", "codes")
     found = ready.repartition(parts, "dims", "t", "code", "i", "j").sortWithinPartitions("dims", "t", "code", "i", "j", "side").mapInArrow(compare, "c long, links long, to long").checkpoint()
-    groups = connected_components(found.where("c != to").select("c", "to"))
+    groups = connected_components(found.where("c != to").select("c", "to"), native=False)
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     of_class = classes.select("v", "c", "n").join(links, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left")
     of_class = of_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
