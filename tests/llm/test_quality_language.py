@@ -1,7 +1,9 @@
 """Operators 2 and 9: statistics against brute force, held-out accuracy."""
 
 import collections
+import math
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -33,11 +35,50 @@ def test_statistics(docs):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for r in quality.statistics(docs.selectExpr("doc_id", "text", "7 as word_count")).collect():
         assert tuple(r[n] for n in names) == brute(r["text"] or ""), r["text"]
+    with pytest.raises(ValueError):
+        quality.statistics(docs.selectExpr("text", "7 as n_words"))
+
+
+def brute_features(text):
+    n, chars, symbols, dup, repeat = brute(text)
+    lines, upper, marks = sum(bool(WORD.search(x)) for x in text.split("\n")), sum(unicodedata.category(c) == "Lu" for c in text), len(re.findall("[!?]", text))
+    share = lambda a, b: a / b if b else 0.0
+    return {"words": float(n), "word_length": share(chars, n), "symbols_a_word": share(symbols, n), "marks_a_word": share(marks, n), "upper_share": share(upper, chars), "words_a_line": share(n, lines), "repeat_share": share(repeat, n), "dup_line_share": share(dup, lines)}
+
+
+def brute_kept(rules, text):
+    """Base rules, then the list, on plain counts."""
+    f, (n, _, _, _, repeat) = brute_features(text), brute(text)
+    fits = lambda c: (f[c.feature] > c.threshold) == c.above
+    return not (n < 10 or 100 * repeat > 20 * n) and not any(all(map(fits, rule)) for rule in rules.rules)
+
+
+CLASHES = ["7 as n_words", "'x' as kept", "array(1) as _words", "2 as _lines", "3 as _q_words", "4.5 as score", "'zz' as lang_pred", "true as rejected", "map('a', 1) as more"]
+
+
+def test_verdicts(docs, spark, sf):
+    """kept against brute force, with columns of the very names that the operator uses, and repeated labelled ids."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality.fit(docs, labels)
+    assert rules.rules and str(quality.fit(docs.union(docs).repartition(7), labels)) == str(rules)
+    out = quality.judge(docs.selectExpr("doc_id", "text", *CLASHES), None, rules).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        assert r["verdict"]["kept"] == brute_kept(rules, r["text"] or ""), r["text"]
+        assert (r["n_words"], r["kept"], r["_words"], r["_lines"]) == (7, "x", [1], 2)
+    with pytest.raises(ValueError):
+        quality.judge(docs.selectExpr("text", "1 as verdict"), None, rules)
+
+
+@pytest.mark.parametrize("n", [1999, 2000, 2001])
+def test_thresholds_lie_midway_at_any_number_of_values(n):
+    learned = quality.learn([{"x": float(i)} for i in range(n)], [i > n // 2 for i in range(n)])
+    assert learned.rules and all(c.threshold % 1 == 0.5 for rule in learned.rules for c in rule)
 
 
 def test_learned_list(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    out = quality.judge(docs, labels).collect()
+    out = quality.judge(docs, labels).select("doc_id", "text", "verdict.*").collect()
     label = {r["doc_id"]: r["quality"] for r in labels.collect()}
     good = [r for r in out if label.get(r["doc_id"]) == 1 and not r["base_failed"]]
     poor = [r for r in out if label.get(r["doc_id"]) == 0]
@@ -58,12 +99,12 @@ def test_sequential_covering():
 
 def test_no_labels(docs, spark):
     out = quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    assert out.where("kept = base_failed").count() == 0 and quality.judge(docs.limit(0), None, quality.DecisionList()).count() == 0
+    assert out.where("verdict.kept = verdict.base_failed").count() == 0 and quality.judge(docs.limit(0), None, quality.DecisionList()).count() == 0
 
 
 def test_language(docs):
     model = language.fit(docs.where(~language.held_out()))
-    out = language.predict(docs.withColumn("h", language.held_out()), model).collect()
+    out = language.predict(docs.withColumn("h", language.held_out()), model).select("doc_id", "lang", "h", "language.*").collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     held = [r for r in out if r["h"] and r["lang"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
@@ -71,6 +112,56 @@ def test_language(docs):
     assert all(r["lang_pred"] == "und" and r["rejected"] for r in out if r["doc_id"] in (-1, -2, -6))
 
 
+def brute_language(model, text):
+    """Plain loops: n-grams by dictionary, a dense vector, the cosine with every centroid."""
+    out, word = [" "], True
+    for c in text.lower():
+        letter = unicodedata.category(c)[0] == "L"
+        if letter or word:
+            out.append(c if letter else " ")
+        word = letter
+    if text and not unicodedata.category(text.lower()[0])[0] == "L":
+        out = out[1:]
+    signs = "".join(out[1:] if out[0] == " " and len(out) > 1 and unicodedata.category(text.lower()[0])[0] == "L" else out)
+    grams, mask = collections.Counter(), (1 << 64) - 1
+    for n in (1, 2, 3):
+        for i in range(len(signs) - n + 1):
+            state = 0
+            for c in signs[i : i + n]:
+                state = (state * 0x1F3D5B79 + ord(c) + 1) & mask
+            grams[(((state + n) * 0x9E3779B97F4A7C15 & mask) >> 40) % language.SIZE] += 1
+    vector = [0.0] * language.SIZE
+    for k, n in grams.items():
+        vector[k] = (1 + math.log(n)) * float(model.idf[k])
+    size = math.sqrt(sum(x * x for x in vector))
+    near = [sum(vector[k] * float(c[k]) for k in grams) / size for c in model.centroids]
+    best = max(range(len(near)), key=lambda i: near[i])
+    return model.languages[model.owner[best]], near[best], near[best] < model.limit[model.owner[best]]
+
+
+def test_language_against_brute_force(docs):
+    model = language.fit(docs.where(~language.held_out()))
+    rows = docs.where("text is not null and length(text) < 4000").selectExpr("doc_id", "text", *CLASHES)
+    checked = 0
+    for r in language.predict(rows, model).collect():
+        if any(unicodedata.category(c)[0] == "L" for c in r["text"]):
+            lang, score, rejected = brute_language(model, r["text"])
+            assert (r["language"]["lang_pred"], r["language"]["rejected"]) == (lang, rejected) and abs(r["language"]["score"] - score) < 1e-3, r["text"]
+            checked += 1
+        assert (r["score"], r["lang_pred"], r["rejected"]) == (4.5, "zz", True)
+    assert checked > 100
+    with pytest.raises(ValueError):
+        language.predict(docs.selectExpr("text", "1 as language"), model)
+
+
+def test_training_takes_whole_texts_and_equal_rows_once(spark):
+    long = ("palabra " * 9000).strip()
+    rows = [(1, long, "es"), (2, "the word and the other", "en")]
+    one, many = (language.fit(spark.createDataFrame(x, "doc_id long, text string, lang string")) for x in (rows, rows * 5))
+    assert one.languages == many.languages == ["en", "es"] and (one.centroids == many.centroids).all()
+    assert [r["language"]["lang_pred"] for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), one).orderBy("doc_id").collect()] == ["es", "en"]
+
+
 def test_language_without_training(docs):
-    out = language.predict(docs.select("doc_id", "text"), language.train([], [])).collect()
+    out = language.predict(docs.select("doc_id", "text"), language.train([], [])).select("language.*").collect()
     assert {r["lang_pred"] for r in out} == {"und"} and language.predict(docs.limit(0), language.train([], [])).count() == 0

@@ -132,3 +132,27 @@ def test_op8(spark, sf):
     whole = chat.format_conversations(turns, limit=500)
     assert whole.count() > len(groups)
     assert chat.digest_conversations(turns.limit(0)).count() == chat.format_conversations(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("extra", [61, 62])
+def test_rule_ties(spark, monkeypatch, extra):
+    """64 and 65 rules (compiled and joined) decide ties alike."""
+    rules = [("block", "tie.org", "/a"), ("allow", "tie.org", "/a"), ("block", "b.tie.org", "/")] + [("block", f"h{i}.net", "/") for i in range(extra)]
+    rows = [(1, "http://tie.org/a/x"), (2, "http://b.tie.org/a"), (3, "http://c.b.tie.org/"), (4, "http://h3.net/q"), (5, "http://none.net/"), (6, None)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, html_col=None).collect()
+    assert (len(rules) > url_filter.COMPILED) == (extra == 62)
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {1: ("tie.org/a", "block"), 2: ("b.tie.org/", "block"), 3: ("b.tie.org/", "block"), 4: ("h3.net/", "block"), 5: (None, "allow"), 6: (None, "allow")}
+
+
+def test_malformed_parts(spark):
+    """Null refs, fields of other types, unknown and null types, null parts and sizes that aren't sound."""
+    parts = [{"type": "image", "ref": None, "width": 28, "height": 14}, {"type": "audio", "ref": "a", "seconds": float("nan"), "width": 9, "text": "no"}, {"type": "document", "ref": "d", "pages": -2}, {"type": "video", "text": "as text"}, {"type": None, "text": None}, None, {"type": "text", "ref": "ignored", "text": "<|done|>"}]
+    done = chat.format_turns([("user", parts)])
+    assert [(x.kind, x.ref, x.tokens) for x in done.attachments] == [("image", "", 2), ("audio", "a", 0), ("document", "d", 0)]
+    (role, content, _, _), = chat.parse(done.text)
+    assert role == "user" and content == "<|image:0|><|audio:1|><|document:2|>as text<|done|>"
+    schema = "conv_id long, turn int, role string, text array<struct<type:string,ref:string,text:string,width:int,height:int,seconds:double,pages:int>>"
+    names = ("type", "ref", "text", "width", "height", "seconds", "pages")
+    rows = [(1, 0, "user", [x and tuple(x.get(k) for k in names) for x in parts]), (1, 1, "assistant", None)]
+    (row,) = chat.format_conversations(spark.createDataFrame(rows, schema)).collect()
+    assert row["formatted"].startswith(done.text) and row["loss"] == [[len(row["formatted"]) - len(chat.END)] * 2]

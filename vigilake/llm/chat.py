@@ -12,13 +12,15 @@ conversation is one task's stream, but no group is ever held. Hot first turns, r
 rows are dealt by conv_id only.
 
 Defined results: a null text is empty, a null role is ""; rows of equal turn keep the order of role, then text;
-rows with a null conv_id are one conversation; further columns are ignored.
+rows with a null conv_id are one conversation; an empty table gives an empty one; further columns are ignored; parts that
+aren't sound become what parts_of says.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -119,15 +121,29 @@ class Visitor:
         return f"{OPEN}{kind}:{len(self.attachments) - 1}{CLOSE}"
 
 
+#: What a part of each type is made of, besides its ref.
+SIZES = {"image": (Image, {"width": int, "height": int}), "audio": (Audio, {"seconds": float}), "document": (Document, {"pages": int})}
+
+
 def parts_of(content: object) -> list[Part]:
-    """Parts from a plain string, or a list of dicts with "type" and the fields of that type."""
+    """Parts from a plain string, or a list of dicts with "type" and the fields of that type.
+
+    Fields of other types are ignored, a missing ref is empty, a size that is missing, negative or not finite is 0; a part
+    of another type or of none is its text, empty without one; a null part is no part.
+    """
     if content is None or isinstance(content, str):
         return [Text(content or "")]
-    kinds = {"text": Text, "image": Image, "audio": Audio, "document": Document}
     out: list[Part] = []
     for item in content:
-        values = {k: v for k, v in dict(item).items() if k != "type" and v is not None}
-        out.append(kinds[item["type"]](**values) if item["type"] != "text" else Text(values.get("text") or ""))
+        if item is None:
+            continue
+        values = dict(item)
+        if (kind := values.get("type")) not in SIZES:
+            out.append(Text(values.get("text") or ""))
+            continue
+        made, sizes = SIZES[kind]
+        sound = lambda x: x is not None and math.isfinite(x) and x > 0
+        out.append(made(values.get("ref") or "", **{k: f(values[k]) if sound(values.get(k)) else f(0) for k, f in sizes.items()}))
     return out
 
 
@@ -190,6 +206,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     content_col holds texts, or JSON lists of typed parts if it is an array of structs. A conversation whose
     formatted text exceeds ``limit`` characters continues in a row with the next part number, cut between turns.
     """
+    ship(turns.sparkSession)
     kind = turns.schema[conv_col].dataType.simpleString()
     src = _ordered(turns, conv_col, turn_col, role_col, content_col)
 

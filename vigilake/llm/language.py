@@ -4,12 +4,14 @@ A text's vector counts its character n-grams of one to three letters (words lowe
 hashed to ``SIZE`` features), scaled by 1 + log(count) and idf and brought to length one. Each language has
 several centroids: spherical k-means of its training vectors. A text gets the language of the nearest centroid
 by cosine; it is rejected if the cosine is below the language's limit, which is set from the distances of
-training texts. Training uses a bounded sample of labelled rows (``SAMPLE`` texts, those of the least hashes);
-the model (a few hundred kB whatever the corpus) goes to the workers with the function. Prediction is a pure
+training texts. Training uses a bounded sample of labelled rows (``SAMPLE`` whole texts of any length, those of the least
+hashes), whose n-grams are counted on the executors; the model (a few hundred kB whatever the corpus) goes to the workers with the function. Prediction is a pure
 map over whole texts; memory is linear in a chunk or the longest text.
 
-Defined results: a null text or one without a letter is "und" with score 0 and rejected; repeated rows each give
-a row; further columns are ignored; without training rows everything is "und".
+Defined results: a null text or one without a letter is "und" with score 0 and rejected; an empty table gives an empty one;
+repeated rows each give a row (in training, equal rows count once); columns of any name are kept as they are, and the
+prediction is one struct column whose name must be free; equally near centroids go to the first language by name; without
+training rows everything is "und".
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vigilake.llm import pieces as P
 from vigilake.session import ship
 
 SIZE, CENTROIDS, SAMPLE, ROUNDS = 4096, 4, 6000, 8
-#: Longer texts are not trained on (they are classified whole like all others).
-LONGEST = 50_000
 #: A text is rejected below this share of the least cosine of nearly all training texts of its language.
 MARGIN, QUANTILE = 0.5, 0.005
 
@@ -87,22 +88,37 @@ class Model:
 
 
 def train(texts: Sequence[str], languages: Sequence[str]) -> Model:
+    """train_counts of texts."""
+    found = []
+    for a, b in P.chunks(texts, 1 << 18):
+        found += _sparse(texts[a:b])
+    return train_counts(found, languages)
+
+
+def _sparse(texts: Sequence[str]) -> list[tuple[bytes, bytes, bool]]:
+    """Features, their scaled counts, and whether there is a letter, of each text."""
+    doc, feature, n, letters = counts(texts)
+    edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+    feature, scaled = feature.astype(np.uint16), (1 + np.log(n)).astype(np.float16)
+    return [(feature[a:b].tobytes(), scaled[a:b].tobytes(), bool(x)) for a, b, x in zip(edge, edge[1:], letters > 0, strict=False)]
+
+
+def train_counts(found: Sequence[tuple[bytes, bytes, bool]], languages: Sequence[str]) -> Model:
+    """The model of texts given as features, scaled counts and whether there is a letter."""
     names = sorted(set(languages))
     model = Model(names, np.ones(SIZE, np.float32), np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64), np.zeros(0))
     if not names:
         return model
     # one matrix, filled and scaled in place: the driver's memory holds it once (rows by language, so parts are views)
     order = np.argsort(np.array([names.index(x) for x in languages]), kind="stable")
-    texts = [texts[i] for i in order]
     number = np.array([names.index(languages[i]) for i in order])
-    vectors, lettered, frequency = np.zeros((len(texts), SIZE), np.float32), np.zeros(len(texts), bool), np.zeros(SIZE)
-    for a, b in P.chunks(texts, 1 << 18):
-        doc, feature, n, letters = counts(texts[a:b])
-        vectors[a + doc, feature] = 1 + np.log(n)
-        lettered[a:b] = letters > 0
-        frequency += np.bincount(feature, minlength=SIZE)
-    model.idf = (np.log((1 + len(texts)) / (1 + frequency)) + 1).astype(np.float32)
-    for a in range(0, len(texts), 512):
+    vectors, lettered, frequency = np.zeros((len(order), SIZE), np.float32), np.array([found[i][2] for i in order]), np.zeros(SIZE)
+    for row, i in enumerate(order):
+        feature = np.frombuffer(found[i][0], np.uint16)
+        vectors[row, feature] = np.frombuffer(found[i][1], np.float16)
+        frequency[feature] += 1
+    model.idf = (np.log((1 + len(order)) / (1 + frequency)) + 1).astype(np.float32)
+    for a in range(0, len(order), 512):
         part = vectors[a : a + 512]
         part *= model.idf
         part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
@@ -135,15 +151,23 @@ def train(texts: Sequence[str], languages: Sequence[str]) -> Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` rows of labelled (those of the least hashes), whole texts."""
-    labelled = labelled.where(F.length(text_col) <= LONGEST)
-    ids = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col, F.length(text_col)).alias("h"))
-    edge = ids.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    """Train on at most ``sample`` different rows of labelled (those of the least hashes), whole texts."""
+    ship(labelled.sparkSession)
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    edge = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if edge is None:
         return train([], [])
-    rows = labelled.where((F.xxhash64(id_col, F.length(text_col)) <= edge) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), text_col, lang_col).limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[2]))[:sample]
-    return train([r[1] for r in rows], [r[2] for r in rows])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in P.chunks(texts, 1 << 18):
+                own = [pa.array(x, t) for x, t in zip(zip(*_sparse(texts[a:b]), strict=True), (pa.binary(), pa.binary(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *own, batch.column(2).slice(a, b - a)], ["h", "feature", "scaled", "lettered", "lang"])
+
+    few = rows.where(F.col("h") <= edge).dropDuplicates(["h", "lang"]).mapInArrow(run, "h long, feature binary, scaled binary, lettered boolean, lang string")
+    got = sorted(few.collect(), key=lambda r: (r["h"], r["lang"]))[:sample]
+    return train_counts([(bytes(r["feature"]), bytes(r["scaled"]), r["lettered"]) for r in got], [r["lang"] for r in got])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -151,10 +175,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (cosine, 0 to 1) and rejected."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", result: str = "language") -> DataFrame:
+    """docs with one more column, a struct of lang_pred, score (cosine, 0 to 1) and rejected."""
     ship(docs.sparkSession)
     names = list(docs.columns)
+    if result in names:
+        raise ValueError(f"there is a column {result}")
     at = names.index(text_col)
 
     def run(batches):
@@ -173,8 +199,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                         known = letters[i] > 0
                         lang.append(model.languages[own[i]] if known else "und")
                         score.append(float(near[i]) if known else 0.0)
-                        rejected.append(not known or near[i] < model.limit[own[i]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([bool(x) for x in rejected], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
+                        rejected.append(bool(not known or near[i] < model.limit[own[i]]))
+            found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, result])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{result}` struct<lang_pred:string,score:double,rejected:boolean>").fields]))

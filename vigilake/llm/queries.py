@@ -29,7 +29,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilake.llm.quality import judge
 
     docs = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return docs.select("doc_id", *(f"verdict.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "language.*")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ longest rule that fits decides. Urls without a rule take the decision of their a
 component over redirect edges (meta refresh) and canonical-link edges found in the pages, plus any edges
 given. In a group, an explicit allow of any member goes before blocks of others; a url's own rule always stands.
 
-Rules are compiled into one conditional expression when there are few, and joined by host suffix otherwise.
+Of rules of equal length that fit, the greatest by text (host and path together) and then by decision stands. Rules are
+compiled into one conditional expression when there are few, and joined by host suffix otherwise, with the same results.
 
 Defined results: a null url or one without "://" has an empty host and path, no rule, no aliases, and is allowed;
 repeated rows each give a row; further columns are ignored.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm.components import connected_components
+from vigilake.session import broadcast_if_small
 
 #: Up to so many rules are one expression; more are joined.
 COMPILED = 64
@@ -39,7 +41,7 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFram
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame) and len(rules) <= COMPILED:
         rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for decision, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
+        for decision, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), (r[1] + r[2]).encode(), r[0])):
             fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
             rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(decision)).otherwise(verdict)
         return pages.withColumns({"rule": rule, "decision": verdict})
@@ -49,7 +51,7 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFram
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = pages.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
-    fit = hosts.join(ranked, "suffix").where(F.col("path").startswith(F.col("prefix")))
+    fit = hosts.join(broadcast_if_small(ranked), "suffix").where(F.col("path").startswith(F.col("prefix")))
     text = F.concat("suffix", "prefix")
     best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), F.col("decision"))).alias("x"))
     best = best.select("host", "path", F.col("x.rule").alias("rule"), F.col("x.decision").alias("decision"))
