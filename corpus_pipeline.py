@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, language ID, near-duplicates, packing.
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents as they came,
+whatever further ones there are and whatever their names.
+
+Defined results: null, empty and blank texts go in the quality stage; texts without a letter go in the language stage; of
+rows with one doc_id the near-duplicate stage keeps one, that of the least hash over all its columns, and rows without
+doc_id all stay; an empty table goes through as an empty one.
 """
 
 from __future__ import annotations
@@ -19,20 +24,24 @@ from vigilake.session import shared_dir, ship, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what neither the base rules nor the learned list rejects."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, None, rules).where("kept").select(*docs.columns)
+    verdict = quality.free_name(docs.columns, "verdict")
+    return quality.judge(docs, None, rules, verdict=verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose nearest language is near enough; training as in op9_language, from the stage's own input."""
     model = language.fit(docs.where(~language.held_out()))
-    return language.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    found = quality.free_name(docs.columns, "language")
+    return language.predict(docs, model, result=found).where(~F.col(found)["rejected"]).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least doc_id of each near-duplicate group, and one row of it; without doc_id, all rows."""
-    classes = near_dups.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(classes, "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    kept = near_dups.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    order = F.xxhash64(*(f.name for f in docs.schema if not f.dataType.simpleString().startswith("map")))
+    one = named.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return one.union(docs.where(F.col("doc_id").isNull()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
