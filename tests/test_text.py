@@ -35,6 +35,15 @@ def test_fold_and_strip_like_python(spark):
     ("liver  failure, liver", ["liver failure", "liver", "liver"], ["liver failure", "liver", "liver"]),
     ("a c++ case", ["c++"], ["c++"]),
     ("groß", ["gross"], []),
+    ("pré  natal", ["pre natal"], []),
+    ("pré natal", ["pre natal"], ["pre natal"]),
+    ("pré  natal", ["pré natal"], ["pré natal"]),
+    ("pre \u00a0\n natal", ["Pre natal"], ["Pre natal"]),
+    ("pre\tnatal", ["pre\tnatal", "pre natal"], ["pre\tnatal", "pre natal"]),
+    ("thing\u0301s", ["thing"], ["thing"]),
+    ("a thing\u0301 x things", ["thing"], ["thing"]),
+    ("nothing; things; Thing", ["thing"], ["thing"]),
+    ("x-ray, of the  day", ["x-ray", "of the", "the day"], ["x-ray", "of the", "the day"]),
 ])
 def test_terms(spark, value, terms, expected):
     assert one(spark, value, lambda c: text.matching_terms(c, terms)) == expected
@@ -65,7 +74,7 @@ def test_terms_beyond_latin(spark):
     docs = spark.createDataFrame([(i, value) for i, (value, _, _) in enumerate(BEYOND_LATIN)], "doc_id long, text string").cache()
     names = list(dict.fromkeys(term for _, term, _ in BEYOND_LATIN))
     found = {r["doc_id"]: r for r in docs.select("doc_id", *(f(F.col("text"), [t]).alias(f"{k}{i}") for i, t in enumerate(names) for k, f in (("any", text.contains_any), ("all", text.matching_terms), ("first", text.first_fragment)))).collect()}
-    # 200 terms are compiled, 201 joined
+    # at the bound terms are compiled, beyond it joined
     compiled, joined = ({(r["doc_id"], r["term"]) for r in terms.match_terms(docs, [*names, *(f"none{i}" for i in range(n - len(names)))]).collect()} for n in (terms.COMPILED, terms.COMPILED + 1))
     for i, (value, term, hit) in enumerate(BEYOND_LATIN):
         k = names.index(term)
@@ -74,6 +83,43 @@ def test_terms_beyond_latin(spark):
     assert joined == compiled
 
 
+def test_compiled_and_joined_terms_agree(spark):
+    """At the bound and beyond it: null and repeated ids, repeated rows, terms of signs only, several blanks."""
+    rows = [(None, "a thing here"), (None, "the  end"), (1, "thing"), (1, "thing"), (1, "pre  natal"), (2, "pré natal ++ $$"), (3, None), (4, ""), (5, "++"), (6, "c+ +")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["thing", "pre natal", "the end", "++", "$", " thing ", *(f"none{i}" for i in range(terms.COMPILED - 6))]
+    compiled, joined = (sorted((str(r["doc_id"]), r["term"]) for r in terms.match_terms(docs, x).collect()) for x in (names, [*names, "more"]))
+    assert compiled == joined and ("None", "thing") in compiled and compiled.count(("1", "thing")) == 2 and ("2", "++") in compiled
+
+
+def like_the_source(value, names):
+    """The matching rule in plain Python: blanks flexible in the text as it is, literal in the text without accents."""
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn").lower()
+    out = []
+    for name in names:
+        term = name.strip()
+        exact = r"(?<!\w)" + r"\s+".join(map(re.escape, term.split(" "))) + r"(?!\w)"
+        if term and (re.search(exact, value, re.IGNORECASE) or re.search(r"(?<!\w)" + re.escape(plain(term)) + r"(?!\w)", plain(value))):
+            out.append(name)
+    return out
+
+
+def test_terms_like_python(spark):
+    r = random.Random(8)
+    parts = ["fever", "Fiébre", "pre", "natal", "é", "a", "x-1", " ", "  ", "\t", "\u00a0", ".", "_", "é", "\u0301", "ÑU", "ñu", "1"]
+    rows = ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(1500)]
+    names = ["fever", "fiebre", "pre natal", "é", "a", "x-1", "ñu", "fever pre", "NU", "natal a"]
+    for x in spark.createDataFrame([(x,) for x in rows], "x string").select("x", text.matching_terms(F.col("x"), names).alias("y"), text.first_fragment(F.col("x"), names).alias("f")).collect():
+        assert x["y"] == like_the_source(x["x"], names), x["x"]
+        assert x["f"] == next((p.strip() for p in re.split(r"(?<=[\.!?])\s+", x["x"]) if like_the_source(p, names)), ""), x["x"]
+
+
+def test_folding_keeps_word_characters():
+    """What ends a word also ends it when folded, so the folded text has each hit of an ASCII word of the text without marks."""
+    for c, base in {**text._decompositions(), **text._match_map()}.items():
+        assert re.match(r"\w", c) or not any(re.match(r"\w", x) for x in base), (c, base)
+
+
 def test_folds_agree(spark):
     r = random.Random(5)
     pool = "aÉſıςΣµßK각가힣ᄒ한がカ゛≠ỗকোொ \u0301\u3099豈"
@@ -100,10 +146,11 @@ def test_sections(spark):
 def test_fragment_clean_snippet(spark):
     assert one(spark, "One. Two fever here! Three fever", lambda c: text.first_fragment(c, ["fever"])) == "Two fever here!"
     assert one(spark, "One.", lambda c: text.first_fragment(c, ["fever"])) == ""
+    assert one(spark, "  a thing here  \n", lambda c: text.first_fragment(c, ["thing"])) == "a thing here"
     assert one(spark, " a—–b\r\nc   d  \n\n\n\ne\x07\tf ", text.clean) == "a-b\nc d\n\ne\tf"
     long = "x" * 100 + " drug " + "y" * 200
     cut = one(spark, long, lambda c: text.snippet(c, "DRUG"))
-    assert cut == "…" + long[21:101] + "drug" + long[105:225] + "…" and one(spark, "a drug", lambda c: text.snippet(c, "drug")) == "a drug"
+    assert cut == "…" + long[21:225] + "…" and one(spark, "x" * 90 + " " * 80 + "drug " + "y" * 5, lambda c: text.snippet(c, "drug")) == "…drug yyyyy" and one(spark, "a drug", lambda c: text.snippet(c, "drug")) == "a drug"
     assert one(spark, "none", lambda c: text.snippet(c, "drug")) is None
 
 
@@ -121,7 +168,8 @@ def test_dates(spark, head, name, expected):
 
 def test_no_info(spark):
     assert [one(spark, x, text.is_no_info) for x in ("Error al consultar CIMA: x", "Error: x", " ", None, "No disponible.")] == [True, False, True, True, True]
-    assert one(spark, "", lambda c: text.or_canned(c, "nada")) == "nada"
+    assert one(spark, "", lambda c: text.or_canned(c, text.NO_MINUTES, F.lit("aspirina"), F.lit("fiebre"))) == "No se ha identificado evaluación regulatoria formal de la RAM 'fiebre' para el fármaco 'aspirina' en las actas PRAC/EMA disponibles."
+    assert one(spark, "texto", lambda c: text.or_canned(c, text.NO_DATASHEET, F.lit("a"), F.lit("b"))) == "texto"
     assert one(spark, "https://a/b/agenda-x.pdf?v=1/", text.file_name) == "agenda-x.pdf"
 
 

@@ -2,7 +2,7 @@
 
 A short list of terms is compiled into expressions, so matching is a map without a shuffle. A long or growing list is a
 table: texts are cut into folded words, a term's first word finds candidates by a hash join, and the exact
-predicate decides. Both give the same pairs.
+predicate decides. Both give the same rows, repeated and null ids included.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.text import S, W, _real, match_fold, matching_terms
+from vigilake.functions.text import S, W, _real, match_fold, matching_terms, strip
 from vigilake.session import broadcast_if_small
 
-#: Up to so many terms are compiled.
-COMPILED = 200
+#: Up to so many terms are compiled; each is looked for in each text, which is slower than candidates from there on.
+COMPILED = 24
 
 
 def match_terms(docs: DataFrame, terms: Sequence[str] | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,26 +29,47 @@ def match_terms(docs: DataFrame, terms: Sequence[str] | DataFrame, id_col: str =
     return _joined(docs, terms, id_col, text_col)
 
 
-def _pattern(term: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(term, rf"\A{S}+|{S}+\z", ""), r"([^\p{L}\p{N}_\s])", r"\\$1")
-    return F.concat(F.lit(f"(?iu)(?<!{W})"), F.regexp_replace(escaped, rf"{S}+", S.replace("\\", "\\\\") + "+"), F.lit(f"(?!{W})"))
+def _quoted(term: Column) -> Column:
+    return F.regexp_replace(strip(term), r"([^\p{L}\p{N}_\s])", r"\\$1")
+
+
+def _patterns(term: Column, folded: Column) -> tuple[Column, Column]:
+    """Regular expressions of a term for the text as it is, blanks flexible, and for the folded text, blanks as they are."""
+    whole = lambda x, flags: F.concat(F.lit(f"{flags}(?<!{W})"), x, F.lit(f"(?!{W})"))
+    flexible = F.regexp_replace(_quoted(term), rf"{S}+", S.replace("\\", "\\\\") + "+")
+    return whole(flexible, "(?iu)"), whole(_quoted(folded), "")
+
+
+def reaction_hit(text: Column, term: Column) -> Column:
+    """FLT-02 for a term of each row; null where one of both is null."""
+    exact, loose = _patterns(term, match_fold(strip(term)))
+    return F.call_function("rlike", text, exact) | F.call_function("rlike", match_fold(text), loose)
 
 
 def _joined(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    folded = match_fold(F.col("term"))
+    folded = match_fold(strip(F.col("term")))
     # marks end a word in the text as it is, but not without them: both first words lead to candidates
     first = F.explode(F.array_distinct(F.array(*(F.regexp_extract(x, rf"({W}+)", 1) for x in (folded, match_fold(F.col("term"), marks=True))))))
-    keyed = terms.where(F.col("term").isNotNull() & ~F.col("term").rlike(rf"\A{S}*\z")).select("term", first.alias("word"), _pattern(F.col("term")).alias("exact"), _pattern(folded).alias("loose")).distinct()
-    own = docs.select(id_col, F.col(text_col).alias("text"))
+    exact, loose = _patterns(F.col("term"), folded)
+    keyed = terms.where(F.col("term").isNotNull() & ~F.col("term").rlike(rf"\A{S}*\z")).select("term", first.alias("word"), exact.alias("exact"), loose.alias("loose")).distinct()
+    # rows are known by id and text, so that null and repeated ids give what they give without a join
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("md5")).where("text is not null")
     cut = lambda x: F.split(x, r"[^\p{L}\p{N}_]+")
-    marked = F.when(F.col("text").rlike(r"\p{Mn}"), cut(match_fold(F.col("text"), marks=True))).otherwise(F.array().cast("array<string>"))
-    words = own.select(id_col, F.explode(F.array_union(cut(match_fold(F.col("text"))), marked)).alias("word"))
-    candidates = words.join(broadcast_if_small(keyed.where("word != ''")), "word").select(id_col, "term", "exact", "loose").distinct()
-    # a term without a word character has no first word and is compared with every text
-    odd = own.select(id_col).join(keyed.where("word = ''").select("term", "exact", "loose"), F.lit(True)) if keyed.where("word = ''").limit(1).count() else None
-    candidates = candidates.unionByName(odd) if odd is not None else candidates
+    marked = F.when(F.col("text").rlike(r"[^\x00-\x7F]") & F.col("text").rlike(r"\p{Mn}"), cut(match_fold(F.col("text"), marks=True))).otherwise(F.array().cast("array<string>"))
+    words = own.select("id", "md5", F.explode(F.array_union(cut(match_fold(F.col("text"))), marked)).alias("word"))
+    candidates = words.join(broadcast_if_small(keyed.where("word != ''")), "word").select("id", "md5", "term", "exact", "loose")
+    # a term without a word character has no first word; texts that have any of them as it is written lead to it
+    signs = keyed.where("word = ''").select("term", "exact", "loose").distinct()
+    if signs.limit(1).count():
+        bare = F.regexp_replace("text", rf"[\p{{L}}\p{{N}}_]+|{S}+", " ")
+        runs = own.select("id", "md5", F.explode(F.array_distinct(F.split(F.trim(bare), " +"))).alias("run")).where("run != ''")
+        start = signs.withColumn("sign", F.substring(strip(F.col("term")), 1, 1))
+        found = runs.select("id", "md5", F.explode(F.array_distinct(F.split("run", ""))).alias("sign")).distinct().join(broadcast_if_small(start), "sign").select("id", "md5", "term", "exact", "loose")
+        candidates = candidates.unionByName(found)
+    candidates = candidates.distinct().withColumnsRenamed({"id": "cid", "md5": "cmd5"})
+    known = own.withColumn("folded", match_fold(F.col("text")))
     hit = F.expr("text rlike exact") | F.expr("folded rlike loose")
-    return candidates.join(own.withColumn("folded", match_fold(F.col("text"))), id_col).where(hit).select(id_col, "term")
+    return candidates.join(known, F.col("cid").eqNullSafe(F.col("id")) & (F.col("cmd5") == F.col("md5"))).where(hit).select(F.col("id").alias(id_col), "term")
 
 
 def term_counts(pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
