@@ -53,8 +53,8 @@ def test_perfect_hash():
 
 def test_cache_may_start_anew():
     calls = []
-    cache = pieces.PieceCache(lambda x: calls.append(len(x)) or [[len(w)] for w in x], most=3)
-    for text in ("a bb ccc", "dddd eeeee", "a bb"):
+    cache = pieces.PieceCache(lambda x: calls.append(len(x)) or [[len(w)] for w in x], most=8)
+    for text in ("a bb ccc", "a x", "dddd eeeee", "a bb", "f gg hhh a", "a " + " ".join("y" * i for i in range(1, 30)), "a bb"):
         cp, off = pieces.codepoints([text])
         starts, ends = pieces.blank_words(cp, off)
         assert cache.ids(*cache.look_up(cp, starts, ends)).tolist() == [len(w) for w in text.split()]

@@ -225,27 +225,40 @@ class Pool:
 
 
 class PieceCache:
-    """Piece -> token ids; holds at most ``most`` pieces (or one chunk's), then starts anew.
+    """Piece -> token ids. When it is to hold more than ``most`` pieces, those that were not met again are dropped first.
 
-    ``resolve`` turns a list of piece strings into lists of ids; it sees each piece once per filling.
+    ``resolve`` turns a list of piece strings into lists of ids.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[Sequence[int]]], most: int = 400_000):
+    def __init__(self, resolve: Callable[[list[str]], list[Sequence[int]]], most: int = 600_000):
         self.resolve, self.most = resolve, most
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.at, self.size, self.met = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, bool)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _shrink(self, room: int) -> None:
+        """Drop pieces that were not met again; all of them where too many were."""
+        kept = np.flatnonzero(self.met[: len(self.numbers)])
+        if len(kept) + room > max(self.most, room) * 3 // 4:
+            self.clear()
+            return
+        names, old = list(self.numbers), (self.at[kept], self.size[kept])
+        flat = self.ids(*old)
+        self.clear()
+        self._store([names[i] for i in kept.tolist()], old[1], flat)
+
     def _add(self, pieces: list[str]) -> None:
         lists = self.resolve(pieces)
         size = np.fromiter(map(len, lists), np.int32, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(size.sum()))
+        self._store(pieces, size, np.fromiter((x for ids in lists for x in ids), np.uint32, int(size.sum())))
+
+    def _store(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
         n = len(self.numbers)
         while n + len(pieces) > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.at, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.met))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -259,10 +272,13 @@ class PieceCache:
         number, first = distinct(cp, starts, ends)
         pieces = piece_texts(cp, starts[first], ends[first])
         if len(self.numbers) + len(pieces) > self.most:
-            self.clear()
+            self._shrink(len(pieces))
+        before = len(self.numbers)
         if new := [x for x in pieces if x not in self.numbers]:
             self._add(new)
-        mine = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))[number]
+        mine = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        self.met[mine[mine < before]] = True
+        mine = mine[number]
         return self.at[mine], self.size[mine]
 
     def ids(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
