@@ -1,5 +1,7 @@
 """Operators on small hand-made tables with expected values derived from the rules."""
 
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +52,9 @@ def test_drug_files(spark, tmp_path):
     asked = spark.createDataFrame([(" ASPIRIN ",), ("none",)], "name string")
     got = {r["name"]: r for r in drugs.with_payload(drugs.resolve(asked, lookup), readers.drug_file(spark, str(tmp_path / "inter.json"), "interactions"), "interactions").collect()}
     assert got[" ASPIRIN "]["inn"] == "Aspirin" and got[" ASPIRIN "]["interactions"][0]["name"] == "Warfarin" and got["none"]["interactions"] == []
-    assert readers.drug_file(spark, str(tmp_path / "missing.json"), "pgx").count() == 0 and readers.signals(spark, str(tmp_path / "missing.json")).count() == 0
+    assert readers.drug_file(spark, str(tmp_path / "missing.json"), "pgx").count() == 0 and [r["status"] for r in readers.signals(spark, str(tmp_path / "missing.json")).collect()] == ["not_available"]
+    table = readers.drug_table(spark, str(tmp_path / "inter.json"), "interactions", str(tmp_path / "inter.parquet"))
+    assert table.first()["value"][0]["name"] == "Warfarin" and readers.kept(spark, "t", lambda: table) is readers.kept(spark, "t", lambda: lookup)
 
 
 def test_direct_interactions(spark):
@@ -62,7 +66,17 @@ def test_direct_interactions(spark):
 def test_cross_mentions(spark):
     rows = [(1, 0, "abc", "abcd", "text with Abcd and wxyz"), (1, 1, "wxyz", "wx", "about ABC and nothing")]
     got = drugs.cross_mentions(spark.createDataFrame(rows, "case_id int, i int, inn string, name string, text string")).collect()
-    assert [(r["source"], r["mentioned"]) for r in got] == [("abcd", "wx")] and got[0]["snippet"] == "text with Abcd and wxyz"
+    assert [(r["i"], r["j"], r["source"], r["mentioned"]) for r in got] == [(0, 1, "abcd", "wx")] and got[0]["snippet"] == "text with Abcd and wxyz"
+
+
+def test_suggested(spark):
+    rows = spark.createDataFrame([(" asprin ",), ("ibu",), ("x",), ("nothing",)], "query string")
+    hints = spark.createDataFrame([("asprin", "aspirin"), ("ibu", "ibux")], "query string, suggestion string")
+    known = spark.createDataFrame([("aspirin", "Aspirin", "1"), ("ibu", "Ibuprofen", "2"), ("x", "X", "3")], "name string, inn string, rxcui string")
+    assert sorted(map(tuple, drugs.suggested(rows, hints, known).collect())) == [("asprin", "aspirin", "Aspirin", "1"), ("ibu", "ibux", "Ibuprofen", "2")]
+    ids = spark.createDataFrame([("a", '{"idGroup":{"rxnormId":["7","8"]}}'), ("b", "{}")], "name string, body string")
+    properties = spark.createDataFrame([("7", '{"properties":{"name":"Alpha"}}')], "rxcui string, body string")
+    assert sorted(map(tuple, readers.concept_names(ids, properties).collect()), key=str) == [("a", "7", "Alpha"), ("b", None, None)]
 
 
 def test_profile_text(spark):
@@ -132,6 +146,24 @@ def test_signals(spark):
     assert signals.block_text(signals.evidence(minutes(spark), "ibuprofen", ["x"])).where("filename = 'b'").first()["block"] == "── MINUTES | sin fecha | b\n\n4.1. ibuprofen only"
 
 
+def test_judges_and_generators(spark):
+    def slow(prompts):
+        import time
+
+        time.sleep(5)
+        return prompts
+
+    rows = spark.createDataFrame([("s", "h", "hello"), (None, None, None)], "system string, history string, message string")
+    assert [r["response"] for r in judge.chat(rows).collect()] == ["hello", ""]
+    assert judge.chat(rows.limit(1), slow, seconds=0.2).first()["response"] == judge.NO_TIME
+    asked = spark.createDataFrame([("x",), (None,)], "prompt string")
+    assert [r["answer"] for r in judge.ask(asked, judge=lambda p: [f"{len(p)}{x}" for x in p]).collect()] == ["1x", None]
+    sheets = spark.createDataFrame([(1, "about Fiébre", "fiebre"), (2, "none", "pain"), (3, "y" * 7999 + "ZQ", "pain"), (4, "x", ""), (5, None, "pain")], "i int, text string, reaction string")
+    found = judge.datasheet_found(sheets, lambda p: [f'{{"ram_presente": {str("Z" in x and "Q" not in x).lower()}}}' for x in p])
+    assert {r["i"]: r["ram_encontrada"] for r in found.collect()} == {1: True, 2: False, 3: True, 4: True, 5: False}
+    assert judge.reports_of(spark.createDataFrame([(1, "p")], "case_id int, prompt string")).first()["report"] == "{}"
+
+
 def test_judge_failure_is_a_row(spark):
     def broken(prompts):
         raise RuntimeError("down")
@@ -144,7 +176,9 @@ def test_cards_and_reports(spark):
     found = spark.createDataFrame([(1, "CIMA", "ok", "text"), (1, "PubMed", "timeout", None), (1, "nobody", "ok", "x")], "case_id int, source string, status string, text string")
     got = {r["source"]: r for r in reports.cards(found).collect()}
     assert set(got) == {"CIMA", "PubMed"} and got["PubMed"]["state"] == "error" and '"contradiccion":null' in got["CIMA"]["content"]
-    parts = reports.report_sections(spark.createDataFrame([(1, 'ok {"d1": "a", "d2": "b"}')], "case_id int, report string"))
+    parts = reports.report_sections(spark.createDataFrame([(1, 'ok {"d1": "a", "d2": "b"}')], "case_id int, report string"), ("d1", "d2", "d3"))
+    more = reports.cards(found.withColumn("fields", reports.card_fields(ft_url=F.lit("u"), ram_encontrada=F.lit(True)))).where("source = 'CIMA'").first()["content"]
+    assert more == '{"texto":"text","contradiccion":null,"ft_url":"u","ram_encontrada":true}'
     assert {r["dimension"]: r["state"] for r in parts.collect()} == {"d1": "ok", "d2": "ok", "d3": "error"}
     assert reports.report_map(parts).first()["report"] == {"d1": "a", "d2": "b", "d3": ""}
     assert reports.prompt(found, F.lit("case"), "head").first()["prompt"] == "head\n\ncase\n\n--- CIMA — Ficha Técnica AEMPS ---\ntext"
@@ -156,6 +190,9 @@ def test_links_and_forms(spark):
     html = '<a href="/x/agenda-1.pdf">a</a><a href="https://h/minutes-2.pdf">b</a><a href="/x/other.pdf">c</a><a href="/y">d</a>'
     got = readers.pdf_links(spark.createDataFrame([(1, html)], "p int, html string")).select(readers.absolute("https://h/list/page", F.col("href")).alias("u")).collect()
     assert [r["u"] for r in got] == ["https://h/x/agenda-1.pdf", "https://h/minutes-2.pdf"]
+    base, hrefs = "https://h/list/sub/page?p=1", ["../a.pdf", "./b", "?q=2", "#top", "//o/c", "", "mailto:x", "/../d", "e/../f/.", "../../../g", "h?i#j"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(hrefs)], "i int, x string").select("i", readers.absolute(base, F.col("x")).alias("u")).orderBy("i").collect()
+    assert [r["u"] for r in got] == [urljoin(base, x) for x in hrefs]
     forms = spark.createDataFrame([('["a"]',), ("bad",), (None,)], "x string").select(readers.form_list(F.col("x")).alias("y")).collect()
     assert [r["y"] for r in forms] == [["a"], [], []]
 

@@ -29,9 +29,10 @@ def report_object(raw: Column) -> Column:
     return F.coalesce(F.try_parse_json(inner), F.parse_json(F.to_json(F.struct(raw.alias("resumen")))))
 
 
-def or_unavailable(text: Column) -> Column:
-    """JSN-04: trimmed text, or a fixed sentence for nothing."""
-    return F.coalesce(F.nullif(strip(text), F.lit("")), F.lit("No disponible"))
+def or_unavailable(value: Column, structured: bool = False) -> Column:
+    """JSN-04: trimmed text, or the indented JSON of a structured value; a fixed sentence for nothing."""
+    text = F.when(value.isNotNull(), F.to_json(value, {"pretty": "true", "ignoreNullFields": "false"})) if structured else F.nullif(strip(value), F.lit(""))
+    return F.coalesce(text, F.lit("No disponible"))
 
 
 def compact(value: Column) -> Column:

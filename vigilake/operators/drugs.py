@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.text import snippet, strip
+from vigilake.functions.text import bound, snippet, strip
 
 
 def normal(name: Column) -> Column:
@@ -31,28 +31,52 @@ def first_known(drugs: DataFrame, ids: DataFrame, first: str, second: str) -> Da
     return out.withColumn("id", F.coalesce("id_a", "id_b")).drop("a", "b", "id_a", "id_b")
 
 
+def suggested(queries: DataFrame, suggestions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """JOIN-15: query, name_en (the first suggestion, else the query), inn, rxcui: of that name, else of the query itself.
+
+    queries: query. suggestions: query, suggestion. resolved: name, inn, rxcui. Queries under two characters or without a name go.
+    """
+    asked = queries.select(strip(F.col("query")).alias("query")).where(F.length("query") >= 2).distinct()
+    hints = suggestions.select(strip(F.col("query")).alias("query"), F.nullif(strip(F.col("suggestion")), F.lit("")).alias("hint")).dropDuplicates(["query"])
+    named = asked.join(hints, "query", "left").withColumn("name_en", F.coalesce("hint", "query"))
+    sound = resolved.where(F.coalesce(strip(F.col("inn")), F.lit("")) != "")
+    a, b = (sound.select(F.col("name").alias(k), strip(F.col("inn")).alias(f"inn_{k}"), F.col("rxcui").alias(f"rxcui_{k}")).dropDuplicates([k]) for k in ("name_en", "query"))
+    out = named.join(a, "name_en", "left").join(b, "query", "left")
+    first = F.col("inn_name_en").isNotNull()
+    pick = lambda k: F.when(first, F.col(f"{k}_name_en")).otherwise(F.col(f"{k}_query"))
+    return out.select("query", "name_en", pick("inn").alias("inn"), pick("rxcui").alias("rxcui")).where("inn is not null")
+
+
 def direct_interactions(cases: DataFrame, interactions: DataFrame) -> DataFrame:
     """JOIN-10: interactions between two drugs of a case, each unordered pair once, the first in list order.
 
-    cases: case_id, pos, inn. interactions: inn, int_pos, name, description.
+    cases: case_id, pos, inn. interactions: inn, int_pos, name, description. The drugs of a case (few) are paired first, so that
+    only pairs that some case has meet the known interactions.
     """
-    a = cases.select("case_id", "pos", F.col("inn").alias("drug1")).join(interactions.select(F.col("inn").alias("drug1"), "int_pos", F.lower("name").alias("other"), "description"), "drug1")
-    b = cases.select("case_id", F.col("inn").alias("drug2"), F.lower("inn").alias("other"))
-    pairs = a.join(b, ["case_id", "other"]).where("drug1 != drug2")
-    order = Window.partitionBy("case_id", F.least("drug1", "drug2"), F.greatest("drug1", "drug2")).orderBy("pos", "int_pos")
-    return pairs.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("case_id", "drug1", "drug2", "description")
+    drug = F.struct("pos", F.col("inn").alias("inn"))
+    pairs = cases.groupBy("case_id").agg(F.collect_list(drug).alias("a")).select("case_id", F.col("a").alias("b"), F.explode("a").alias("x"))
+    pairs = pairs.select("case_id", "x", F.explode(F.filter("b", lambda y: y["inn"] != F.col("x.inn"))).alias("y")).select("case_id", F.col("x.pos").alias("pos"), F.col("x.inn").alias("drug1"), F.col("y.inn").alias("drug2"))
+    known = interactions.groupBy(F.col("inn").alias("drug1"), F.lower("name").alias("other")).agg(F.min(F.struct("int_pos", "description")).alias("first"))
+    found = pairs.withColumn("other", F.lower("drug2")).join(known, ["drug1", "other"])
+    best = F.min(F.struct("pos", F.col("first.int_pos").alias("int_pos"), "drug1", "drug2", F.col("first.description").alias("description"))).alias("x")
+    return found.groupBy("case_id", F.least("drug1", "drug2").alias("lo"), F.greatest("drug1", "drug2").alias("hi")).agg(best).select("case_id", "x.drug1", "x.drug2", "x.description")
 
 
 def cross_mentions(texts: DataFrame, least: int = 4) -> DataFrame:
     """JOIN-12/STR-10: drugs of a case named in another drug's text, the international name before the other one.
 
-    texts: case_id, i, inn, name, text. One row for each ordered pair, with a snippet.
+    texts: case_id, i, inn, name, text. One row for each ordered pair (i, j), with the place (at) and a snippet. The names of a case (few) go to each of
+    its texts, which is read once.
     """
-    a = texts.select("case_id", "i", F.col("name").alias("source"), "text")
-    b = texts.select("case_id", F.col("i").alias("j"), "inn", F.col("name").alias("mentioned"))
-    hit = lambda n: F.when((F.length(n) >= least) & F.lower("text").contains(F.lower(n)), F.col(n))
-    found = a.join(b, "case_id").where("i != j").withColumn("as", F.coalesce(hit("inn"), hit("mentioned"))).where("as is not null")
-    return found.select("case_id", "source", "mentioned", snippet(F.col("text"), F.col("as"), 80, 120).alias("snippet"))
+    names = texts.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("i", "inn", "name"))).alias("others"))
+    own = texts.select("case_id", "i", F.col("name").alias("source"), "text").join(names, "case_id")
+
+    def in_low(low):
+        hit = lambda n: F.when((F.length(n) >= least) & low.contains(F.lower(n)), n)
+        return F.filter(F.transform("others", lambda o: F.struct(o["i"].alias("j"), o["name"].alias("mentioned"), F.coalesce(hit(o["inn"]), hit(o["name"])).alias("as"))), lambda o: (o["j"] != F.col("i")) & o["as"].isNotNull())
+
+    found = own.select("case_id", "i", "source", "text", F.explode(bound(F.lower("text"), in_low)).alias("x"))
+    return found.select("case_id", "i", "x.j", "source", "x.mentioned", F.position(F.lower("x.as"), F.lower("text")).alias("at"), snippet(F.col("text"), F.col("x.as"), 80, 120).alias("snippet"))
 
 
 def _list(title: str, items: Column, line) -> Column:

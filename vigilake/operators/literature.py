@@ -11,7 +11,8 @@ SECTIONS = (
     ("factores_riesgo", '(risk OR susceptibility OR predisposing OR "risk factor")', "FACTORES DE RIESGO"),
     ("recomendaciones", "(management OR prevention OR monitoring OR guideline)", "RECOMENDACIONES Y MANEJO"),
 )
-NO_RESULT = "Sin resultados para esta búsqueda."
+GENERAL = ("asociacion_general", "", "ASOCIACIÓN GENERAL")
+NO_RESULT, NOTHING = "Sin resultados para esta búsqueda.", "Sin resultados en PubMed."
 
 
 def quoted(terms: Column) -> Column:
@@ -78,3 +79,25 @@ def section_text(articles: DataFrame) -> DataFrame:
     one = F.struct("place", F.concat(F.lit("PMID: "), F.col("pmid"), F.lit("\nTitle: "), F.col("title"), F.lit("\nAbstract: "), F.col("abstract"), origin).alias("t"), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.col("pmid"), F.lit("/")).alias("url"))
     rows = articles.groupBy("case_id", "section").agg(F.sort_array(F.collect_list(one)).alias("x"))
     return rows.select("case_id", "section", F.array_join(F.transform("x", lambda a: a["t"]), "\n\n").alias("text"), F.array_join(F.transform("x", lambda a: a["url"]), " | ").alias("urls"))
+
+
+def serialise(sections: DataFrame) -> DataFrame:
+    """RND-03: case_id, text, search_details: all sections of a case in fixed order as one text.
+
+    sections: case_id, section, n_found, query, text, urls, details (null or blank where there is none). A case whose sections are
+    all unknown has a fixed sentence.
+    """
+    names = sections.sparkSession.createDataFrame([(k, label, i) for i, (k, _, label) in enumerate((*SECTIONS, GENERAL))], "section string, title string, nth int")
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
+    head = F.concat(F.lit("─── "), F.col("title"), F.lit(" ("), F.coalesce("n_found", F.lit(0)).cast("string"), F.lit(" artículos encontrados) ───"))
+    part = F.concat_ws("\n\n", head, F.concat(F.lit("Query: "), some("query")), F.coalesce("text", F.lit(NO_RESULT)), F.concat(F.lit("URLs: "), some("urls")))
+    rows = sections.join(F.broadcast(names), "section", "left").groupBy("case_id").agg(F.sort_array(F.collect_list(F.when(F.col("nth").isNotNull(), F.struct("nth", part.alias("part"), some("details").alias("details"))))).alias("x"))
+    first = F.get(F.filter("x", lambda x: x["details"].isNotNull()), F.lit(0))["details"]
+    return rows.select("case_id", F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda x: x["part"]), "\n\n")).otherwise(NOTHING).alias("text"), first.alias("search_details"))
+
+
+def section_queries(cases: DataFrame) -> DataFrame:
+    """STR-11: one row for each case, section and term: case_id, section, term_ord, term, query. cases: case_id, inn, terms."""
+    names = cases.sparkSession.createDataFrame([(k, f) for k, f, _ in SECTIONS], "section string, filter string")
+    rows = cases.select("case_id", "inn", F.posexplode("terms").alias("term_ord", "term")).join(F.broadcast(names))
+    return rows.select("case_id", "section", "term_ord", "term", term_query(F.col("inn"), F.col("term"), F.col("filter")).alias("query"))

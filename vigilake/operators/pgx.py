@@ -91,10 +91,16 @@ def gene_line() -> Column:
 TITLES = (("strong", "Genes evidencia fuerte (1A/1B)", 10**6), ("secondary", "Genes evidencia secundaria (2A/2B)", 10**6), ("low", "Genes evidencia baja (referencia)", 3))
 
 
-def text(genes: DataFrame, by: str = "drug") -> DataFrame:
-    """RND-04: all genes of a drug as one text."""
+#: Fixed value: the text of a drug without genes.
+NO_GENES = "Sin datos farmacogenéticos relevantes."
+
+
+def text(genes: DataFrame, by: str = "drug", drugs: DataFrame | None = None) -> DataFrame:
+    """RND-04: all genes of a drug as one text. drugs: all drugs; those without genes then have a fixed sentence."""
+    if drugs is not None:
+        return drugs.select(by).distinct().join(text(genes, by), by, "left").withColumn("text", F.coalesce("text", F.lit(NO_GENES)))
     titles = genes.sparkSession.createDataFrame([(a, b, n, i) for i, (a, b, n) in enumerate(TITLES)], "strength string, title string, most int, block int")
     shown = genes.join(F.broadcast(titles), "strength").where("position <= most").withColumn("line", gene_line())
     blocks = shown.groupBy(by, "block", "title").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     whole = F.transform(F.sort_array(F.collect_list(F.struct("block", F.concat(F.lit("\n"), F.col("title"), F.lit(":\n"), F.col("lines")).alias("t")))), lambda x: x["t"])
-    return blocks.groupBy(by).agg(F.concat_ws("\n", F.concat(F.lit("PharmGKB + CPIC — "), F.col(by)), F.array_join(whole, "\n")).alias("text"))
+    return blocks.groupBy(by).agg(F.concat_ws("\n", F.concat(F.lit("PharmGKB + CPIC — "), F.col(by).cast("string")), F.array_join(whole, "\n")).alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.json import compact, or_unavailable, parse_cascade
+from vigilake.functions.text import NO_DATASHEET, NO_MINUTES, or_canned, strip
 from vigilake.session import broadcast_if_small
 
 
@@ -17,12 +18,13 @@ def report_counts(reports: DataFrame, terms: DataFrame) -> DataFrame:
     """
     asked = terms.select("question", F.lower("term").alias("key"), (F.lower("term") == F.lower("pt")).alias("is_pt")).distinct()
     hits = reports.withColumn("key", F.lower("term")).drop("term").join(broadcast_if_small(asked), "key")
-    # one shuffle of distinct rows serves both counts
-    hits = hits.select("drug", "question", "key", "is_pt", "case_id").distinct()
-    each = hits.groupBy("drug", "question", "key", "is_pt").agg(F.count("case_id").alias("n"))
-    sums = each.groupBy("drug", "question").agg(F.coalesce(F.sum(F.when(F.col("is_pt"), F.col("n"))), F.lit(0)).alias("total_pt"), F.sum("n").alias("total_combined"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_pt"), F.struct("key", "n")))), lambda x: F.concat(F.lit("  '"), x["key"], F.lit("': "), x["n"].cast("string"), F.lit(" casos"))), "\n").alias("lines"))
-    once = hits.groupBy("drug", "question").agg(F.countDistinct("case_id").alias("n_cases"))
-    return sums.join(once, ["drug", "question"])
+    # distinct rows first, then the terms of each case: both counts come from one row a case
+    cases = hits.groupBy("drug", "question", "case_id").agg(F.collect_set(F.struct("is_pt", "key")).alias("terms"))
+    each = cases.select("drug", "question", "case_id", F.posexplode("terms").alias("nth", "x")).groupBy("drug", "question", "x").agg(F.count("case_id").alias("n"), F.count_if(F.col("nth") == 0).alias("once"))
+    line = F.struct(F.col("x.key").alias("key"), "n")
+    out = each.groupBy("drug", "question").agg(F.coalesce(F.sum(F.when(F.col("x.is_pt"), F.col("n"))), F.lit(0)).alias("total_pt"), F.sum("n").alias("total_combined"), F.sort_array(F.collect_list(F.when(~F.col("x.is_pt"), line))).alias("lines"), F.sum("once").alias("n_cases"))
+    written = F.transform("lines", lambda x: F.concat(F.lit("  '"), x["key"], F.lit("': "), x["n"].cast("string"), F.lit(" casos")))
+    return out.withColumn("lines", F.array_join(written, "\n"))
 
 
 def report_text(pt: Column, total_pt: Column, lines: Column, total: Column) -> Column:
@@ -49,15 +51,30 @@ def source_table(spark) -> DataFrame:
     return spark.createDataFrame([(*x, i) for i, x in enumerate(SOURCES)], "source string, card_id string, title string, label string, ord int")
 
 
+def card_fields(**columns: Column) -> Column:
+    """FLT-18: more fields of a card's content, by the names that the reader of the card knows (ft_url, fda_refs, prac_docs ...)."""
+    return compact(F.struct(*(c.alias(k) for k, c in columns.items())))
+
+
+def minutes_docs(refs: Column) -> Column:
+    """FLT-18: references to minutes (source, date, filename, fragments, found) as a card's prac_docs."""
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    return F.transform(refs, lambda r: F.struct(blank(r["source"]).alias("source"), blank(r["date"]).alias("date"), blank(r["filename"]).alias("filename"), r["fragments"].alias("fragmentos"), F.coalesce(r["found"], F.lit(False)).alias("ram_encontrada")))
+
+
 def cards(evidence: DataFrame) -> DataFrame:
     """RND-05/STM-01/STM-02/JOIN-16: one card for each case and known source; failed sources are error cards.
 
-    evidence: case_id, source, status (ok, error, timeout), text.
+    evidence: case_id, source, status (ok, error, timeout), text, and perhaps fields: a JSON object of card_fields, which a
+    sound card's content has besides its text.
     """
     own = evidence.join(F.broadcast(source_table(evidence.sparkSession)), "source")
     message = F.when(F.col("status") == "timeout", F.lit("Sin respuesta (timeout)")).when(F.col("status") == "error", F.concat(F.lit("Error: "), F.coalesce("text", F.lit("")))).otherwise(or_unavailable(F.col("text")))
     state = F.when(F.col("status") == "ok", "ok").otherwise("error")
     content = compact(F.struct(message.alias("texto"), F.lit(None).cast("string").alias("contradiccion")))
+    if "fields" in evidence.columns:
+        more = (F.col("status") == "ok") & F.col("fields").isNotNull() & (F.col("fields") != "{}")
+        content = F.when(more, F.concat(F.rtrim(content, F.lit("}")), F.lit(","), F.substr("fields", F.lit(2)))).otherwise(content)
     return own.select("case_id", "card_id", "title", state.alias("state"), content.alias("content"), "source", "ord")
 
 
@@ -73,7 +90,7 @@ def found_state(text: Column) -> Column:
 
 
 def prompt(evidence: DataFrame, case_lines: Column, header: str) -> DataFrame:
-    """RND-07/RND-08/RND-10: one text for each case: header, case, then each source with evidence once, in fixed order.
+    """RND-07: one text for each case: header, case, then each source with evidence once, in fixed order.
 
     evidence: case_id, source, text and the columns of case_lines.
     """
@@ -82,11 +99,78 @@ def prompt(evidence: DataFrame, case_lines: Column, header: str) -> DataFrame:
     return own.groupBy("case_id").agg(F.concat_ws("\n\n", F.lit(header), F.min(case_lines), F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda x: x["b"]), "\n\n")).alias("prompt"))
 
 
-def report_sections(raw: DataFrame, dimensions: tuple[str, ...] = ("d1", "d2", "d3")) -> DataFrame:
-    """RND-09: one row for each case and dimension of a report text; a missing one is an error. raw: case_id, report."""
+#: Sources in the order of report prompts, with their labels (RND-08).
+REPORT_SOURCES = (
+    ("DrugBank", "DrugBank (mecanismo, dianas, CYP, toxicidad)"),
+    ("PharmGKB", "PharmGKB + CPIC (farmacogenetica)"),
+    ("PathwayCommons", "Pathway Commons (interacciones gen-farmaco, pathways moleculares)"),
+    ("PubMed", "PubMed (literatura: casos, factores riesgo, recomendaciones)"),
+    ("FDA FAERS", "FDA FAERS / openFDA (notificaciones espontaneas)"),
+    ("CIMA", "CIMA / AEMPS (ficha tecnica espanola)"),
+    ("PRAC/EMA", "PRAC / EMA (actas de senales regulatorias)"),
+)
+
+
+def report_prompt(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """RND-08/FLT-15: case_id, prompt: the case, then every source once in fixed order, those without information by fixed sentences.
+
+    cases: case_id, drug, reaction, sex, age, ethnicity, found, ft_url. evidence: case_id, source, text (one row for each source).
+    """
+    texts = evidence.groupBy("case_id").agg(*(F.max(F.when(F.col("source") == k, F.col("text"))).alias(f"t{i}") for i, (k, _) in enumerate(REPORT_SOURCES)))
+    own = cases.join(texts, "case_id", "left")
+    say = lambda c: F.coalesce(F.col(c), F.lit(""))
+    head = F.concat(F.lit("Farmaco: "), say("drug"), F.lit("\nRAM evaluada: "), say("reaction"), F.lit("\nSexo: "), say("sex"), F.lit(" | Edad: "), say("age"), F.lit(" | Etnia: "), say("ethnicity"), F.lit("\nRAM en ficha tecnica (validacion previa): "), F.coalesce("found", F.lit("desconocido")), F.lit("\nURL Ficha Tecnica: "), say("ft_url"))
+    canned = {"CIMA": NO_DATASHEET, "PRAC/EMA": NO_MINUTES}
+    blocks = []
+    for i, (source, label) in enumerate(REPORT_SOURCES):
+        text = or_unavailable(F.col(f"t{i}"))
+        text = or_canned(text, canned[source], F.col("drug"), F.col("reaction")) if source in canned else text
+        blocks.append(F.concat(F.lit(f"--- {label} ---\n"), text))
+    return own.select("case_id", F.concat_ws("\n\n", head, *blocks).alias("prompt"))
+
+
+def interaction_prompt(cases: DataFrame, sheets: DataFrame, mentions: DataFrame, known: DataFrame, literature: DataFrame) -> DataFrame:
+    """RND-10: case_id, prompt of a combination: alerts of cross mentions, each drug's section 4.5, interactions, literature.
+
+    cases: case_id, reaction, names (array). sheets: case_id, i, name, text (null: none). mentions: case_id, i, j, source, mentioned,
+    snippet. known, literature: case_id, text.
+    """
+    alert = F.concat(F.lit("ALERTA: "), F.col("source"), F.lit(" menciona a "), F.col("mentioned"), F.lit(' en sección 4.5: "'), F.col("snippet"), F.lit('"\n'))
+    joined = lambda rows, order, line, name: rows.groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "").alias(name))
+    block = F.concat(F.lit("\n["), F.col("name"), F.lit(" — sección 4.5]:\n"), F.coalesce("text", F.lit("Sin datos")), F.lit("\n"))
+    own = cases.join(joined(mentions, ["i", "j"], alert, "alerts"), "case_id", "left").join(joined(sheets, ["i"], block, "blocks"), "case_id", "left")
+    own = own.join(known.select("case_id", F.col("text").alias("known")), "case_id", "left").join(literature.select("case_id", F.col("text").alias("literature")), "case_id", "left")
+    blank = F.lit("")
+    said = strip(F.concat(F.coalesce("alerts", blank), F.coalesce("blocks", blank)))
+    return own.select("case_id", F.concat(F.lit("Fármacos en combinación: "), F.array_join("names", " + "), F.lit("\nRAM evaluada: "), F.coalesce("reaction", blank), F.lit("\n\n--- CIMA sección 4.5 (interacciones en ficha técnica) ---\n"), F.when(said == "", "Sin datos disponibles").otherwise(said), F.lit("\n\n--- DrugBank (interacciones entre fármacos) ---\n"), or_unavailable(F.col("known")), F.lit("\n\n--- PubMed (literatura sobre esta combinación + RAM) ---\n"), or_unavailable(F.col("literature"))).alias("prompt"))
+
+
+#: Dimensions of a report with titles and sources (RND-09).
+DIMENSIONS = {
+    "mecanistica": ("1. Dimension Mecanistica", ("DrugBank", "PharmGKB", "CPIC", "PathwayCommons", "PubMed")),
+    "clinica": ("2. Dimension Clinica", ("PubMed", "FDA FAERS", "CIMA", "PharmGKB")),
+    "regulatoria": ("3. Dimension Regulatoria", ("PRAC/EMA", "FDA FAERS", "CIMA")),
+}
+#: Whose references each dimension shows, in order; of minutes only those with the reaction.
+REFERRED = {"mecanistica": ("PubMed", "DrugBank", "PharmGKB"), "clinica": ("PubMed",), "regulatoria": ("PRAC/EMA",)}
+
+
+def report_sections(raw: DataFrame, dimensions: tuple[str, ...] = tuple(DIMENSIONS), refs: DataFrame | None = None) -> DataFrame:
+    """RND-09: one row for each case and dimension of a report text; a missing one is an error. raw: case_id, report.
+
+    refs: case_id, source, ord, ref (url or file name), found; each dimension then has its references in order.
+    """
     value = parse_cascade(F.col("report"))
-    rows = raw.select("case_id", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.try_variant_get(value, f"$.{d}", "string").alias("content")) for d in dimensions))).alias("x")).select("case_id", "x.*")
-    return rows.withColumn("state", F.when(F.col("content").isNotNull(), "ok").otherwise("error"))
+    titles, sources = ({k: DIMENSIONS.get(k, (k, ()))[i] for k in dimensions} for i in (0, 1))
+    item = lambda d: F.struct(F.lit(d).alias("dimension"), F.lit(titles[d]).alias("title"), F.lit(", ".join(sources[d])).alias("sources"), F.try_variant_get(value, f"$.{d}", "string").alias("content"))
+    rows = raw.select("case_id", F.explode(F.array(*map(item, dimensions))).alias("x")).select("case_id", "x.*")
+    rows = rows.withColumn("state", F.when(F.col("content").isNotNull(), "ok").otherwise("error"))
+    if refs is None:
+        return rows
+    places = [(d, s, n) for d in dimensions for n, s in enumerate(REFERRED.get(d, ()))]
+    shown = refs.where((F.col("source") != "PRAC/EMA") | F.col("found")).join(F.broadcast(refs.sparkSession.createDataFrame(places, "dimension string, source string, place int")), "source")
+    listed = shown.groupBy("case_id", "dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "ord", "ref"))), lambda x: x["ref"]).alias("refs"))
+    return rows.join(listed, ["case_id", "dimension"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
 
 
 def report_map(sections: DataFrame) -> DataFrame:

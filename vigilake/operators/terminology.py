@@ -71,7 +71,7 @@ def search(query: str, pt: DataFrame, llt: DataFrame, limit: int = 15) -> DataFr
     """TOP-01: hits in four tiers (preferred and lower terms, each English then Spanish), file order inside a tier.
 
     Digits are a code prefix, anything else a folded substring of a name. FLT-12: queries under two characters
-    find nothing. Columns: code, name_en, name_es, type, pt_code, rank.
+    find nothing. Columns: code, name_en, name_es, type, pt_code, tier, ord, pt_name_en (the preferred term's name of a lower one).
     """
     q = query.strip()
     folded = ascii_fold(strip(F.lit(q)))
@@ -87,4 +87,7 @@ def search(query: str, pt: DataFrame, llt: DataFrame, limit: int = 15) -> DataFr
     for t in tiers[1:]:
         hits = hits.unionByName(t)
     first = hits.groupBy("code").agg(F.min_by(F.struct("name_en", "name_es", "type", "pt_code", "tier", "ord"), F.struct("tier", "ord")).alias("x")).select("code", "x.*")
-    return first.where(F.lit(len(q) >= 2)).orderBy("tier", "ord", "code").limit(max(0, min(limit, 30)))
+    found = first.where(F.lit(len(q) >= 2)).orderBy("tier", "ord", "code").limit(max(0, min(limit, 30)))
+    # at most 30 rows: they go to the names
+    named = pt.select(F.col("code").alias("pt_code"), F.coalesce("name_en", F.lit("")).alias("pt_name_en")).join(F.broadcast(found.select("pt_code").distinct()), "pt_code", "left_semi")
+    return found.join(named, "pt_code", "left").select(*found.columns, F.when(F.col("type") == "LLT", F.coalesce("pt_name_en", F.lit(""))).alias("pt_name_en")).orderBy("tier", "ord", "code")

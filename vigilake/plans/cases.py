@@ -61,7 +61,7 @@ def case_events(cases: DataFrame, sources: Mapping[str, Source]) -> DataFrame:
 
 
 def case_prompts(cases: DataFrame, sources: Mapping[str, Source], header: str) -> DataFrame:
-    """RND-07/RND-08: one prompt for each case, each source with information once."""
+    """RND-07: one prompt for each case, each source with information once."""
     found = collect_evidence(cases, sources).where((F.col("status") == "ok") & ~is_no_info(F.col("text")))
     info = cases.select(F.col("case_id").cast("string").alias("case_id"), F.concat_ws("\n", F.concat(F.lit("Fármaco: "), "drug"), F.concat(F.lit("RAM sospechada: "), "reaction_en"), F.concat(F.lit("Edad: "), "age"), F.concat(F.lit("Sexo: "), "sex")).alias("info"))
     return reports.prompt(found.join(info, "case_id"), F.col("info"), header)
@@ -87,3 +87,28 @@ def interaction_evidence(cases: DataFrame, sheets: DataFrame, interactions: Data
     queries = lists.select("case_id", F.posexplode(combinations(F.col("names"))).alias("nth", "drugs"))
     queries = queries.withColumn("label", F.array_join("drugs", " AND ")).withColumn("query", literature.combination_query(F.col("drugs"), F.array().cast("array<string>")))
     return drugs.cross_mentions(texts), pairs, queries
+
+
+def interaction_events(cases: DataFrame, cards: DataFrame, sheets: DataFrame, mentions: DataFrame, known: DataFrame, literature: DataFrame, report: DataFrame) -> DataFrame:
+    """SNK-04: case_id, seq, tipo, payload of a combination: header, each drug's cards, the three interaction sections, report, end.
+
+    cases: case_id, reaction, drugs (array of inn, name). cards: as of reports.cards with drug_index, inn. sheets: case_id, i, inn, name,
+    text. mentions: as of drugs.cross_mentions. known: case_id, drug1, drug2, description. literature: case_id, text. report: case_id,
+    report (JSON text). Cases without rows of a section have it empty.
+    """
+    whole = lambda *c: reports.compact(F.struct(*c))
+    event = lambda rows, seq, kind, payload: rows.select("case_id", F.lit(seq).cast("long").alias("seq") if isinstance(seq, int) else seq.cast("long").alias("seq"), F.lit(kind).alias("tipo"), payload.alias("payload"))
+    listed = lambda rows, name, order, *c: cases.select("case_id").join(rows.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*c).alias("v")))), lambda x: x["v"]).alias(name)), "case_id", "left")
+    section = lambda kind, title, source, content: whole(F.lit(kind).alias("id"), F.lit(title).alias("titulo"), F.lit("ok").alias("estado"), content.alias("contenido"), F.array(F.lit(source)).alias("fuentes"), F.lit(kind).alias("subtipo"))
+    tagged = reports.tag_drug(cards)
+    own = listed(sheets, "farmacos", ["i"], "inn", F.col("name").alias("name_es"), F.col("text").alias("texto"))
+    own = own.join(listed(mentions, "menciones_cruzadas", ["i", "j"], F.col("source").alias("farmaco_origen"), F.col("mentioned").alias("farmaco_mencionado"), F.col("snippet").alias("fragmento")), "case_id")
+    pairs = listed(known, "interacciones", ["drug1", "drug2"], "drug1", "drug2", "description")
+    found = cases.select("case_id").join(literature.select("case_id", "text"), "case_id", "left")
+    out = event(cases, 0, "cabecera_int", whole(F.col("drugs").alias("farmacos"), F.col("reaction").alias("ram")))
+    out = out.unionByName(event(tagged, 1 + 100 * F.col("farmaco_idx") + F.col("ord"), "seccion_farmaco", whole(F.col("card_id").alias("id"), F.col("title").alias("titulo"), F.col("state").alias("estado"), F.col("content").alias("contenido"), "farmaco_idx", F.col("inn").alias("farmaco_inn"))))
+    out = out.unionByName(event(own, 1_000_001, "seccion_interaccion", section("cima_int", "CIMA 4.5 — Interacciones", "CIMA", F.struct("farmacos", "menciones_cruzadas"))))
+    out = out.unionByName(event(pairs, 1_000_002, "seccion_interaccion", section("drugbank_int", "DrugBank — Interacciones", "DrugBank", F.struct("interacciones"))))
+    out = out.unionByName(event(found, 1_000_003, "seccion_interaccion", section("pubmed_int", "PubMed — Combinaciones de Fármacos", "PubMed", F.struct(F.col("text").alias("texto")))))
+    out = out.unionByName(event(report, 1_000_004, "informe_int", whole(F.col("report").alias("contenido"))))
+    return out.unionByName(event(cases, 1_000_005, "fin_int", whole(F.lit("Análisis de interacciones completado").alias("mensaje"))))

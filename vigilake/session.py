@@ -45,12 +45,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir; where that is unset (tests), a folder is set."""
+    """The folder that all machines share, from spark.checkpoint.dir; where that is unset, a local session gets one of its own."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    found = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="vigilake-checkpoint-")
+    found = context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="vigilake-checkpoint-")
     context.setCheckpointDir(found)
     return found
 
