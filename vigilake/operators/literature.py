@@ -98,6 +98,6 @@ def serialise(sections: DataFrame) -> DataFrame:
 
 def section_queries(cases: DataFrame) -> DataFrame:
     """STR-11: one row for each case, section and term: case_id, section, term_ord, term, query. cases: case_id, inn, terms."""
-    names = cases.sparkSession.createDataFrame([(k, f) for k, f, _ in SECTIONS], "section string, filter string")
-    rows = cases.select("case_id", "inn", F.posexplode("terms").alias("term_ord", "term")).join(F.broadcast(names))
+    every = F.array(*(F.struct(F.lit(k).alias("section"), F.lit(f).alias("filter")) for k, f, _ in SECTIONS))
+    rows = cases.select("case_id", "inn", F.explode(every).alias("s"), "terms").select("case_id", "inn", "s.*", F.posexplode("terms").alias("term_ord", "term"))
     return rows.select("case_id", "section", "term_ord", "term", term_query(F.col("inn"), F.col("term"), F.col("filter")).alias("query"))

@@ -143,10 +143,10 @@ def literature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.create_map(*(F.lit(x) for pair in _SECTION_OF.items() for x in pair))[F.col("lang")]
     hits = docs.select(F.col("source").alias("case_id"), section.alias("section"), (F.col("doc_id") % 3).cast("int").alias("term_ord"), F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string")).alias("term"), F.col("doc_id").alias("id_ord"), _text("doc_id").alias("pmid"))
     found = literature.section_totals(hits.groupBy("case_id", "section", "term_ord").agg(F.count("*").alias("total")))
-    names = spark.createDataFrame([(k, label, i) for i, (k, _, label) in enumerate((*literature.SECTIONS, literature.GENERAL))], "section string, label string, ord int")
+    every = F.array(*(F.struct(F.lit(k).alias("section"), F.lit(label).alias("label"), F.lit(i).alias("ord")) for i, (k, _, label) in enumerate((*literature.SECTIONS, literature.GENERAL))))
     seen = literature.first_seen(hits)
     counted = seen.groupBy("case_id", "section").agg(F.count("*").alias("n_ids"))
-    grid = hits.select("case_id").distinct().join(F.broadcast(names)).join(found, ["case_id", "section"], "left").join(counted, ["case_id", "section"], "left").fillna(0, ["n_ids", "n_found"])
+    grid = hits.select("case_id").distinct().select("case_id", F.explode(every).alias("s")).select("case_id", "s.*").join(found, ["case_id", "section"], "left").join(counted, ["case_id", "section"], "left").fillna(0, ["n_ids", "n_found"])
     fetched = docs.where("doc_id % 2 = 0").select(_text("doc_id").alias("pmid"), F.concat(F.lit("T"), _text("doc_id")).alias("title"), F.lit("").alias("abstract"))
     texts = literature.section_text(literature.enrich(literature.chosen(seen, literature.slots(grid)), fetched))
     asked = literature.term_query(F.lit("q"), F.col("label"), F.lit(""))
@@ -287,8 +287,9 @@ def dimension_writer(prompts: list[str]) -> list[str]:
 def report_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF-02, RND-09, JSN-01: a generator's reports of customers by dimension, with references."""
     written = judge.reports_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), _text("c_custkey").alias("prompt")), dimension_writer)
-    refs = [("PubMed", 0, "p1", None), ("DrugBank", 0, "d1", None), ("PRAC/EMA", 0, "f1", True), ("PRAC/EMA", 1, "f2", False)]
-    named = written.select("case_id").join(F.broadcast(spark.createDataFrame(refs, "source string, ord int, ref string, found boolean")))
+    refs = (("PubMed", 0, "p1", None), ("DrugBank", 0, "d1", None), ("PRAC/EMA", 0, "f1", True), ("PRAC/EMA", 1, "f2", False))
+    one = lambda s, n, r, f: F.struct(F.lit(s).alias("source"), F.lit(n).alias("ord"), F.lit(r).alias("ref"), F.lit(f).cast("boolean").alias("found"))
+    named = written.select("case_id", F.explode(F.array(*(one(*x) for x in refs))).alias("r")).select("case_id", "r.*")
     return reports.report_sections(written, refs=named).select("case_id", "dimension", "state", "content", F.array_join("refs", ",").alias("refs"))
 
 
