@@ -43,6 +43,7 @@ SIZE = ROWS * BANDS
 SMALL = 12
 #: Members that a straggler's group is first compared with; members of a block, and characters that count as one more.
 PIVOTS, BLOCK, HEAVY = 4, 512, 32_768
+SALTS = 16  # shares into which a unit's members are dealt when its sizes are joined to them
 SLACK = 0.12  # a sketch estimate below SIMILARITY - SLACK is over four and a half standard deviations away
 
 
@@ -244,7 +245,9 @@ def _units(rows: DataFrame) -> DataFrame:
     sizes = by_component.groupBy("unit").agg(F.max_by(F.struct("component", "w"), F.struct("n", "component")).alias("most"), F.sum("w").alias("all"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda w: F.ceil(w / BLOCK).cast("int")
     sizes = sizes.select("unit", F.col("most.component").alias("most"), blocks(F.col("all") - F.col("most.w")).alias("rows"), blocks(F.col("all")).alias("columns"))
-    return rows.join(sizes, "unit").select("unit", "id", "component", "rows", "columns", (F.col("component") != F.col("most")).alias("straggler"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    return salted.join(sizes, ["unit", "salt"]).select("unit", "id", "component", "rows", "columns", (F.col("component") != F.col("most")).alias("straggler"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
