@@ -43,7 +43,7 @@ SIZE = ROWS * BANDS
 SMALL = 12
 #: Members that a straggler's group is first compared with; members of a block, and characters that count as one more.
 PIVOTS, BLOCK, HEAVY = 4, 512, 32_768
-SALTS = 16  # shares into which a unit's members are dealt when its sizes are joined to them
+SALTS = 16  # shares into which the members of a group are dealt when facts about the group are joined to them
 SLACK = 0.12  # a sketch estimate below SIMILARITY - SLACK is over four and a half standard deviations away
 
 
@@ -239,15 +239,19 @@ def _unit_links(batches):
         yield batch_of(links(rows))
 
 
+def _with_facts(members: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """members joined to facts, of which each key has one row, in SALTS shares by id, so that no task gets a large group whole."""
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(facts, [key, "salt"]).drop("salt")
+
+
 def _units(rows: DataFrame) -> DataFrame:
     """unit, id, component, rows, columns, straggler: whom to compare with whom, in so many blocks. rows: unit, id, component, heavy."""
     by_component = rows.groupBy("unit", "component").agg(F.sum("heavy").alias("w"), F.count("*").alias("n"))
     sizes = by_component.groupBy("unit").agg(F.max_by(F.struct("component", "w"), F.struct("n", "component")).alias("most"), F.sum("w").alias("all"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda w: F.ceil(w / BLOCK).cast("int")
     sizes = sizes.select("unit", F.col("most.component").alias("most"), blocks(F.col("all") - F.col("most.w")).alias("rows"), blocks(F.col("all")).alias("columns"))
-    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-    return salted.join(sizes, ["unit", "salt"]).select("unit", "id", "component", "rows", "columns", (F.col("component") != F.col("most")).alias("straggler"))
+    return _with_facts(rows, sizes, "unit").select("unit", "id", "component", "rows", "columns", (F.col("component") != F.col("most")).alias("straggler"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = compact(connected_components(left.select("id", "b"), native=False).select(F.col("node").alias("id"), F.col("component").alias("grp")))
         members = compact(left.select("id", "component").distinct().join(grouped, "id"))
         heads = members.groupBy("grp").agg(*(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "component")).alias(f"p{k}") for k in range(PIVOTS)))
-        few = members.join(heads, "grp").select("id", "component", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("x")).where("component != x.component")
+        few = _with_facts(members, heads, "grp").select("id", "component", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("x")).where("component != x.component")
         links = links.union(links_of(few.select(F.greatest("id", "x.id").alias("a"), F.least("id", "x.id").alias("b")).distinct()))
         groups = solved(links)
         heavy = texts_in.select("id", (1 + F.length("text") / HEAVY).alias("heavy"))
@@ -317,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys_of = left.groupBy("key", "b").agg(F.count("*").alias("n")).join(grouped.select(F.col("id").alias("b"), "grp"), "b")
         work = keys_of.groupBy("grp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
         work = work.join(members.groupBy("grp").agg(F.count("*").cast("double").alias("n")), "grp").select("grp", (F.col("n") * F.col("n") <= F.col("apart")).alias("together"))
-        named_members = compact(members.join(work, "grp"))
+        named_members = compact(_with_facts(members, work, "grp"))
         whole = named_members.where("together").select(F.struct("grp", F.lit(None).cast("long").alias("key")).alias("unit"), "id", "component", "heavy")
         single = left.select("key", "id").join(named_members.where("not together"), "id").select(F.struct("grp", "key").alias("unit"), "id", "component", "heavy")
         units = compact(_units(whole.union(single)))
