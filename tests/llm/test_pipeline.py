@@ -81,7 +81,7 @@ def test_empty(spark, sf):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
@@ -92,7 +92,7 @@ def test_query(spark, sf, name):
     assert len(rows) >= {"op4_vectors": spark.read.parquet(f"{sf}/embeddings.parquet").count()}.get(name, 20)
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
-        for table in ("documents", "embeddings", "pages", "conversations"):
+        for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
             con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
         found = con.execute(queries.ORACLE_SQL[name])
         names = [x[0] for x in found.description]

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators whose results SQL can express (4, 5, 6 and 8)."""
+"""DuckDB SQL for the operators whose results SQL can express (4, 5, 6, 8, 11 and 13)."""
 
 from __future__ import annotations
 
@@ -66,3 +66,32 @@ select conv_id, count(*) as n_turns,
     sum(24 + length(replace(replace(role, '\', '\\'), '<', '\<')) + length(replace(replace(text, '\', '\\'), '<', '\<')))::bigint as formatted_chars
 from t group by conv_id
 """
+
+OP11 = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+c as (select count(*)::bigint as n_docs, sum(len(t))::bigint as n_terms from d where len(t) > 0),
+i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+q as (select item_id, term, count(*)::bigint as times from i group by item_id, term),
+e as (select r, doc_id, len(t)::bigint as n, unnest(t) as term from d),
+p as (select r, doc_id, n, term, count(*)::bigint as tf from e where term in (select term from q) group by r, doc_id, n, term),
+w as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from p, c group by term, n_docs),
+s as (select item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::bigint as score
+    from p join w using (term) join q using (term), c group by item_id, r, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id, r))::int as rank, doc_id, score from s where score > 0
+qualify rank <= 10
+"""
+
+OP13 = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+g as (select r, doc_id, x, len(x) // 2 as n from d),
+p as (select r, i, md5(substr(x, 2 * i::bigint + 1, 800)) as s from (select r, x, unnest(range(n - 399)) as i from g where n >= 400)),
+f as (select r, i from p where s in (select s from p group by s having count(*) > 1)),
+b as (select r, i, i - lag(i) over (partition by r order by i) as gap from f),
+m as (select r, i, sum(case when gap is null or gap > 400 then 1 else 0 end) over (partition by r order by i) as k from b),
+t as (select r, k, min(i) as a, max(i) + 400 as e from m group by r, k),
+h as (select r, a, e, coalesce(lag(e) over (partition by r order by a), 0) as z from t),
+j as (select h.r, count(*) as n_spans, sum(e - a) as n_removed, string_agg(substr(x, 2 * z::bigint + 1, 2 * (a - z)::bigint), '' order by a) || substr(any_value(x), 2 * max(e)::bigint + 1) as kept
+    from h join g on g.r = h.r group by h.r)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256
+from g left join j on j.r = g.r
+"""
