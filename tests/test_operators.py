@@ -172,6 +172,58 @@ def test_judge_failure_is_a_row(spark):
     assert got["answer"] is None and "down" in got["error"]
 
 
+def test_judges_are_asked_prompt_by_prompt(spark):
+    """Of 1,000 prompts one fails and one gives two answers; all others keep their answers."""
+
+    def odd(prompts):
+        if prompts[0] == "7":
+            raise ValueError("not this one")
+        return prompts * (1 + (prompts[0] == "8"))
+
+    rows = spark.range(1000).selectExpr("cast(id as string) as prompt", "id").coalesce(1)
+    got = {r["id"]: r for r in judge.ask(rows, judge=odd).collect()}
+    assert {i for i, r in got.items() if r["answer"] is None} == {7, 8} and all(r["answer"] == str(i) for i, r in got.items() if i not in (7, 8))
+    assert got[7]["error"] == "ValueError: not this one" and "ValueError" in got[8]["error"]
+
+
+def test_a_hung_call_costs_its_own_prompt():
+    import threading
+    import time
+
+    hold = threading.Event()
+
+    def hanging(prompts):
+        if prompts[0].startswith("hang"):
+            hold.wait(20)
+        return prompts
+
+    calls = judge.Calls(hanging, 0.3, at_once=2)
+    began = time.monotonic()
+    got = calls.run(["a", "hang", "b", "c", "d"])
+    assert [x[0] for x in got] == ["a", None, "b", "c", "d"] and got[1][1] == "TimeoutError: no answer in 0.3 s"
+    got = calls.run(["e", "hang too", "f", "g"])
+    assert [x[0] for x in got] == ["e", None, None, None] and "hang" in got[3][1] and time.monotonic() - began < 5
+    hold.set()
+    time.sleep(0.2)
+    assert [x[0] for x in calls.run(["h", "i"])] == ["h", "i"] and calls.run([]) == []
+
+
+def test_signals_of_cases(spark):
+    """A table of cases gives for each case what one call for it gives, with one scan."""
+    docs = minutes(spark).union(spark.createDataFrame([("g", "d", "minutes", "4.1. ibu\n4.2 profen, naproxen"), ("g", "d2", "minutes", "intro NAPROXEN\n4.1. rash with naproxen\n4.1.2. fiébre high  fever of naproxen"), ("h", "d", "minutes", None), ("i", "", "agendas", "ibuprofen\n4.1. x ibuprofen4.2")], "filename string, date string, source string, section4 string"))
+    cases = [("1", "ibuprofen", ["Fever"]), ("2", "IBUPROFEN", ["rash", " ", None]), ("3", "naproxen", ["high fever", "fiebre", "rash"]), ("4", "absent", ["x"]), ("5", " ", ["x"]), ("6", None, ["x"]), ("7", "profen", []), ("8", "ibu\n4.2 profen", ["x"])]
+    frame = spark.createDataFrame(cases, "case_id string, inn string, terms array<string>")
+    flat = lambda rows: sorted((r["filename"], r["date"], r["source"], r["with_reaction"], r["n_fragments"], r["terms"], [tuple(f) for f in r["fragments"]]) for r in rows)
+    said = lambda p: [f'{{"ram_presente": {str("only" in x).lower()}}}' for x in p]
+    for judged, shipped in ((False, 10_000), (True, 10_000), (True, 0)):
+        got = signals.evidence_of_cases(docs, frame, said, judged, shipped).collect()
+        for c, drug, asked in cases:
+            one = flat(signals.evidence(docs.where("section4 is not null"), drug, [x for x in asked if x is not None], said, judged).collect()) if drug and drug.strip() else []
+            assert flat(r for r in got if r["case_id"] == c) == one, c
+        assert {r["case_id"] for r in got} == {"1", "2", "3", "7", "8"}
+    assert signals.evidence_of_cases(docs.limit(0), frame).count() == 0 == signals.evidence_of_cases(docs, frame.limit(0)).count()
+
+
 def test_cards_and_reports(spark):
     found = spark.createDataFrame([(1, "CIMA", "ok", "text"), (1, "PubMed", "timeout", None), (1, "nobody", "ok", "x")], "case_id int, source string, status string, text string")
     got = {r["source"]: r for r in reports.cards(found).collect()}

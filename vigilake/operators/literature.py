@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sections and their filters, in order of declaration.
-SECTIONS = (
-    ("casos_reportados", '(case OR "case report" OR "case series")', "CASOS REPORTADOS"),
-    ("factores_riesgo", '(risk OR susceptibility OR predisposing OR "risk factor")', "FACTORES DE RIESGO"),
-    ("recomendaciones", "(management OR prevention OR monitoring OR guideline)", "RECOMENDACIONES Y MANEJO"),
+from vigilake.operators import article_search
+from vigilake.session import settled
+
+#: Sections, the phrases that their filters look for, and their titles, in order of declaration.
+FILTERS = (
+    ("casos_reportados", ("case", "case report", "case series"), "CASOS REPORTADOS"),
+    ("factores_riesgo", ("risk", "susceptibility", "predisposing", "risk factor"), "FACTORES DE RIESGO"),
+    ("recomendaciones", ("management", "prevention", "monitoring", "guideline"), "RECOMENDACIONES Y MANEJO"),
 )
+#: Sections with their filters as written in a query: phrases of several words in quotes.
+SECTIONS = tuple((k, "(" + " OR ".join(f'"{x}"' if " " in x else x for x in some) + ")", title) for k, some, title in FILTERS)
 GENERAL = ("asociacion_general", "", "ASOCIACIÓN GENERAL")
-NO_RESULT, NOTHING = "Sin resultados para esta búsqueda.", "Sin resultados en PubMed."
+#: Articles that a term's search in a section gives, and that the general search gives.
+FOUND, FOUND_GENERAL = 2, 3
+NO_RESULT, NOTHING, NOTHING_GENERAL = "Sin resultados para esta búsqueda.", "Sin resultados en PubMed.", "Sin resultados."
 
 
 def quoted(terms: Column) -> Column:
@@ -97,7 +104,49 @@ def serialise(sections: DataFrame) -> DataFrame:
 
 
 def section_queries(cases: DataFrame) -> DataFrame:
-    """STR-11: one row for each case, section and term: case_id, section, term_ord, term, query. cases: case_id, inn, terms."""
-    every = F.array(*(F.struct(F.lit(k).alias("section"), F.lit(f).alias("filter")) for k, f, _ in SECTIONS))
+    """STR-11: one row for each case, section and term: case_id, section, term_ord, term, query, groups (the query as ``article_search`` takes it).
+
+    cases: case_id, inn, terms.
+    """
+    every = F.array(*(F.struct(F.lit(k).alias("section"), F.lit(f).alias("filter"), F.array(*map(F.lit, some)).alias("phrases")) for (k, f, _), (_, some, _) in zip(SECTIONS, FILTERS, strict=True)))
     rows = cases.select("case_id", "inn", F.explode(every).alias("s"), "terms").select("case_id", "inn", "s.*", F.posexplode("terms").alias("term_ord", "term"))
-    return rows.select("case_id", "section", "term_ord", "term", term_query(F.col("inn"), F.col("term"), F.col("filter")).alias("query"))
+    groups = F.array(F.array("inn"), F.array("term"), F.col("phrases"))
+    return rows.select("case_id", "section", "term_ord", "term", term_query(F.col("inn"), F.col("term"), F.col("filter")).alias("query"), groups.alias("groups"))
+
+
+def section_query(drug: Column, terms: Column, section_filter: Column) -> Column:
+    """STR-11: the query that a section shows: the drug, any of the terms, and the filter."""
+    return F.concat(drug, F.lit(" AND ("), quoted(terms), F.lit(") AND "), section_filter)
+
+
+def sections_of_cases(cases: DataFrame, articles: DataFrame, positions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-09 to RND-03 for a table of cases: sections (case_id, section, n_found, n_shown, query, text, urls, details) and the articles shown.
+
+    cases: case_id, inn, terms (the preferred one first). articles: pmid, title, abstract. Each term is searched in each section; a
+    case for which no section shows an article has one general section in addition, searched for the drug and its first term.
+    """
+    known = articles.where("pmid is not null").select(F.col("pmid").cast("string").alias("pmid"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract")))
+    texts = known.select("pmid", F.concat_ws("\n", "title", "abstract").alias("text"))
+    asked = settled(section_queries(cases).select("*", F.struct("case_id", "section", "term_ord").alias("query_id")))
+    found, totals = article_search.search(texts, asked, FOUND, positions=positions)
+    each = totals.select("query_id.*", "total").join(asked.select("case_id", "section", "term_ord", "term"), ["case_id", "section", "term_ord"])
+    hits = found.select("query_id.*", F.col("place").alias("id_ord"), "pmid").join(asked.select("case_id", "section", "term_ord", "term"), ["case_id", "section", "term_ord"])
+    seen = first_seen(hits)
+    order = F.create_map(*(F.lit(x) for i, (k, *_) in enumerate(SECTIONS) for x in (k, i)))
+    n_ids = seen.groupBy("case_id", "section").agg(F.count("*").alias("n_ids"))
+    detail = F.concat("term", F.lit(": "), F.col("total").cast("string"))
+    details = each.groupBy("case_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("term_ord", detail.alias("d")))), lambda x: x["d"]), "; ").alias("details"))
+    known_sections = section_totals(each).join(n_ids, ["case_id", "section"], "left").na.fill(0, ["n_ids"]).join(details, ["case_id", "section"]).withColumn("ord", F.try_element_at(order, F.col("section")))
+    allocation = slots(known_sections)
+    shown = enrich(chosen(seen, allocation), known)
+    # the general search of cases that show nothing
+    bare = cases.join(shown.select("case_id").distinct(), "case_id", "left_anti").where(F.size("terms") > 0).select("case_id", "inn", F.get("terms", F.lit(0)).alias("term"))
+    general = bare.select(F.col("case_id").alias("query_id"), F.array(F.array("inn"), F.array("term")).alias("groups"))
+    some, all_of = article_search.search(texts, general, FOUND_GENERAL, positions=positions)
+    more = enrich(some.select(F.col("query_id").alias("case_id"), F.lit(GENERAL[0]).alias("section"), "place", "pmid").withColumn("origins", F.array().cast("array<string>")), known)
+    every = settled(shown.select("case_id", "section", "place", "pmid", "title", "abstract", "origins").unionByName(more.select("case_id", "section", "place", "pmid", "title", "abstract", "origins")))
+    filters = F.create_map(*(F.lit(x) for k, f, _ in SECTIONS for x in (k, f)))
+    heads = allocation.join(cases.select("case_id", "inn", "terms"), "case_id").select("case_id", "section", "n_found", section_query(F.col("inn"), F.col("terms"), F.try_element_at(filters, F.col("section"))).alias("query"), "details")
+    heads = heads.unionByName(bare.join(all_of.select(F.col("query_id").alias("case_id"), F.col("total").alias("n_found")), "case_id").select("case_id", F.lit(GENERAL[0]).alias("section"), "n_found", F.concat("inn", F.lit(' AND "'), "term", F.lit('"')).alias("query"), F.lit(None).cast("string").alias("details")))
+    out = heads.join(section_text(every), ["case_id", "section"], "left").join(every.groupBy("case_id", "section").agg(F.count("*").alias("n_shown")), ["case_id", "section"], "left").na.fill(0, ["n_shown"])
+    return out.select("case_id", "section", "n_found", "n_shown", "query", F.coalesce("text", F.when(F.col("section") == GENERAL[0], NOTHING_GENERAL).otherwise(NO_RESULT)).alias("text"), "urls", "details"), every

@@ -46,6 +46,17 @@ def reaction_hit(text: Column, term: Column) -> Column:
     return F.call_function("rlike", text, exact) | F.call_function("rlike", match_fold(text), loose)
 
 
+def patterns_of(term: Column) -> Column:
+    """What ``pattern_hit`` needs of a term: its two regular expressions, made once for the term."""
+    exact, loose = _patterns(term, match_fold(strip(term)))
+    return F.struct(term.alias("term"), exact.alias("exact"), loose.alias("loose"))
+
+
+def pattern_hit(text: Column, folded: Column, pattern: Column) -> Column:
+    """FLT-02 for a row's text, its match_fold() and a row of patterns_of."""
+    return F.call_function("rlike", folded, pattern["loose"]) | F.call_function("rlike", text, pattern["exact"])
+
+
 def _joined(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     folded = match_fold(strip(F.col("term")))
     # marks end a word in the text as it is, but not without them: both first words lead to candidates
