@@ -33,10 +33,11 @@ def brute_search(docs, items, k):
     return out
 
 
-@pytest.mark.parametrize(("shipped", "segment", "k"), [(1000, 4096, 10), (3, 2, 3)])
-def test_search(spark, monkeypatch, shipped, segment, k):
-    monkeypatch.setattr(search, "SHIPPED", shipped)
-    monkeypatch.setattr(search, "SEGMENT", segment)
+@pytest.mark.parametrize(("shipped", "segment", "block", "cells", "k"), [(1000, 4096, 1 << 22, 1 << 21, 10), (150, 7, 900, 40, 3)])
+def test_search(spark, monkeypatch, shipped, segment, block, cells, k):
+    """In one pass, and in small blocks, segments and passes."""
+    for name, value in zip(("SHIPPED", "SEGMENT", "BLOCK", "CELLS"), (shipped, segment, block, cells), strict=True):
+        monkeypatch.setattr(search, name, value)
     r = random.Random(5)
     words = ["the"] * 30 + ["of"] * 12 + ["Größe", "größe", "ÉTÉ", "x1", "a_b", "don't", "日本"] + [f"w{i}" for i in range(40)]
     docs = [(i, " ".join(r.choices(words, k=r.choice([0, 3, 20, 200])))) for i in range(150)]
