@@ -205,3 +205,30 @@ def test_op4_lengths(spark):
     con.register("embeddings", frame.toArrow())
     got = vectors.near_duplicates(frame).select("vec_id", "n_links", "component_id", "kept").collect()
     assert sorted(tuple(x) for x in got) == sorted(con.execute(oracle.OP4).fetchall())
+
+
+def test_op4_magnitudes_and_repeated_ids(spark):
+    """Great and small components are compared as others are; different vectors of one id are vectors of their own."""
+    rows = [(1, [1e200, 2e200]), (2, [1e200, 2.0001e200]), (3, [1e-200, 2e-200]), (4, [-1e308, 5e-324]), (5, [5e-324, 0.0]), (6, [1e308, 0.0])]
+    rows += [(50, [1.0, -2.0]), (50, [-1.0, -2.0]), (51, [-1.0, -2.00001]), (51, [-1.0, -2.00001]), (52, [1.0, -2.00001]), (53, None), (50, None), (50, [1.0, -2.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] < 50} == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 1, 5), (6, 1, 5)}
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] >= 50) == [(50, 0, 50), (50, 1, 50), (50, 1, 50), (50, 1, 50), (51, 1, 50), (51, 1, 50), (52, 1, 50), (53, 0, 53)]
+
+
+def test_op4_recall_beside_the_given_table(spark, sf):
+    """Links of the given vectors with copies of them at cosines about the limit, held against brute force in double precision."""
+    frame = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], np.array(r["embedding"], np.float64)) for r in frame.collect() if r["embedding"] is not None]
+    r = np.random.default_rng(4)
+    for i, v in list(rows):
+        noise = r.standard_normal(len(v))
+        rows.append((100_000 + i, v / np.linalg.norm(v) + noise / np.linalg.norm(noise) * r.uniform(0.3, 0.55)))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = (u @ u.T) >= 0.9
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame(rows, frame.schema)).collect()}
+    assert sum(got.values()) >= 0.99 * link.sum() > 200 and all(got[i] <= n for (i, _), n in zip(rows, link.sum(axis=1), strict=True))

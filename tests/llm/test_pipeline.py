@@ -6,6 +6,7 @@ import random
 import duckdb
 import public_tokenizers as PT
 import pytest
+from pyspark.sql import functions as F
 from test_duplicates import brute_classes, family
 from test_quality_language import brute_kept, brute_language
 from tokenizers import Tokenizer
@@ -80,6 +81,19 @@ def test_empty(spark, sf):
         assert now.count() == 0
 
 
+def test_columns_of_any_type_and_name(spark, sf):
+    """Every stage but the last keeps columns that cannot be hashed or whose names hold dots; of rows that differ in a map only one stays."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) between 500 and 3000").limit(60)
+    more = docs.union(docs.limit(3)).select("*", F.array(F.create_map(F.lit("k"), F.monotonically_increasing_id())).alias("maps"), F.struct(F.create_map(F.lit(1), "lang").alias("m")).alias("s"), F.parse_json(F.lit('{"a": [1, null]}')).alias("v"), F.lit("x").alias("meta.src"), F.lit(2).alias("b`c")).checkpoint()
+    now = more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf).checkpoint()
+        assert now.schema.simpleString() == more.schema.simpleString(), name
+    ids = [r["doc_id"] for r in now.collect()]
+    assert len(ids) == len(set(ids)) > 20 and {str(r) for r in now.collect()} <= {str(r) for r in more.collect()}
+    assert sorted(ids) == sorted(r["doc_id"] for r in corpus_pipeline.near_dup_stage(spark, now, sf).collect())
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 

@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigilake.llm import language, quality
 
@@ -165,3 +166,17 @@ def test_training_takes_whole_texts_and_equal_rows_once(spark):
 def test_language_without_training(docs):
     out = language.predict(docs.select("doc_id", "text"), language.train([], [])).select("language.*").collect()
     assert {r["lang_pred"] for r in out} == {"und"} and language.predict(docs.limit(0), language.train([], [])).count() == 0
+
+
+def test_a_row_repeated_often_is_one_row_of_the_sample(spark):
+    """A row with the least hash, repeated as often as the sample is large, leaves room for the others."""
+    rows = [(i, f"the cat and the dog number {i} went home", "en") if i % 2 else (i, f"el perro y el gato {i} en la casa", "es") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    least = tuple(frame.orderBy(F.xxhash64("doc_id", "text")).first())
+    assert language.fit(frame.union(spark.createDataFrame([least] * 50, frame.schema)), sample=50).languages == ["en", "es"]
+
+
+def test_prediction_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([("x", "the cat", 1, {"a": 1})], "`meta.src` string, text string, `language` int, `a``b` map<string,int>")
+    out = language.predict(frame, language.train(["the cat", "el gato"], ["en", "es"]), result="found")
+    assert out.columns == ["meta.src", "text", "language", "a`b", "found"] and out.first()["found"]["lang_pred"] == "en"

@@ -6,10 +6,11 @@ import io
 import random
 from urllib.parse import urljoin
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.llm import chat, url_filter, warc
+from vigilake.llm import chat, oracle, url_filter, warc
 from vigilake.session import shared_dir
 
 
@@ -96,6 +97,32 @@ def test_op6_targets(spark):
     assert got[100]["verdict"] == got[101]["verdict"] == "block" and got[100]["alias_of"] == got[101]["alias_of"]
 
 
+def test_op6_tags_in_comments_scripts_and_attributes(spark):
+    """Text that only looks like a tag makes no edge; fragments take no part in aliases."""
+    tag = '<link rel=canonical href="https://x.net/es/p">'
+    free = [f"<!-- {tag} -->", f"<!-- > {tag}", f"<script>var a = '{tag}'; // canonical</script>", f"<STYLE>{tag}</STYLE >", f"<title>{tag}</title>", f"<textarea>{tag}", f"<a title='{tag}'>", f'<script src="a>b">{tag}</scripty></script>', "<!--x--!><linky rel=canonical href='https://x.net/es/p'>"]
+    blocked = [f"<!-->{tag}", f"<!--a-->{tag}<!--b-->", f"<script>1</script>{tag}", f"<script><!-- </script>{tag}", f"<a title='<!--'>{tag}", f"<p title=\"<script>\">{tag}", f"<scripty>{tag}", f"<!--a--!>{tag}"]
+    rows = [(i, f"https://x.net/a{i}", h) for i, h in enumerate(free + blocked)]
+    chain = [(100, "https://z.net/1#top", '<link rel=canonical href="/2#x">'), (101, "https://z.net/2", '<link rel=canonical href="/3#y">'), (102, "https://z.net/3#a?b", tag), (103, "https://z.net/1", None), (104, "https://z.net/1#other", "")]
+    frames = (spark.createDataFrame(x, "page_id long, url string, html string") for x in (rows, chain))
+    got = {r["page_id"]: r for frame in frames for r in url_filter.judge(frame, RULES).collect()}
+    assert [got[i]["verdict"] for i in range(len(rows))] == ["allow"] * len(free) + ["block"] * len(blocked)
+    assert {(got[i]["verdict"], got[i]["alias_of"]) for i in range(100, 105)} == {("block", "https://x.net/es/p")}
+
+
+def test_op6_sql_has_the_rules_of_tags(spark):
+    """The SQL and the operator agree where tags stand in comments and scripts, name several relations, or have references and fragments."""
+    rows = [(1, "https://x.net/1", '<!-- <link rel="canonical" href="https://x.net/es/p"> -->'), (2, "https://x.net/2", '<script>"<link rel=canonical href=https://x.net/es/p>"</script>'), (3, "https://x.net/3", '<link rel="alternate canonical" href="https://x.net/es/p#a">'), (4, "https://x.net/4#f", '<link rel="canonical" href="https://y.org/?a=1&amp;b=2">'), (5, "https://y.org/?a=1&b=2", '<meta http-equiv="refresh" content="0; url=https://x.net/fr/p">'), (6, "https://x.net/6", '<link rel="notcanonical" href="https://x.net/es/p">'), (7, None, None), (8, "https://x.net/4", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", frame.toArrow())
+    found = con.execute(oracle.op6(RULES))
+    names = [x[0] for x in found.description]
+    got = url_filter.judge(frame, RULES).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(found.fetchall(), key=str)
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {3, 4, 5, 8}
+
+
 def test_resolve(spark):
     refs = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "g?y/../x", "g#s/../x"]
     got = spark.createDataFrame([(x,) for x in refs], "x string").select("x", url_filter.resolve(F.lit("http://a/b/c/d?q"), F.col("x")).alias("y")).collect()

@@ -151,10 +151,10 @@ def train_counts(found: Sequence[tuple[bytes, bytes, bool]], languages: Sequence
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` different rows of labelled (those of the least hashes), whole texts."""
+    """Train on at most ``sample`` different rows of labelled (those of the least hashes; a row that is repeated counts once), whole texts."""
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    edge = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    edge = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if edge is None:
         return train([], [])
 
@@ -203,4 +203,5 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", result: str =
             found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, result])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{result}` struct<lang_pred:string,score:double,rejected:boolean>").fields]))
+    # by position, as names may hold dots
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{result}` struct<lang_pred:string,score:double,rejected:boolean>").fields]))

@@ -25,11 +25,12 @@ select page_id, strlen(p.h) as payload_bytes, sha1(p.h) as payload_digest,
 from p left join k on p.h = k.h
 """
 
-_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b"""
-_HREF = r"""(?is)\bhref\s*=\s*["'']?([^"''\s>]+)"""
-_CONTENT = r"""(?is)\bcontent\s*=\s*["''][^"'']*?url\s*=\s*([^"''\s>]+)"""
+_RAW = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)|<title\b.*?(?:</title|\z)|<textarea\b.*?(?:</textarea|\z)"
+_TAG = r"""(?is)<(?:link|meta)\b(?:[^"''>]|"[^"]*"|''[^'']*'')*>"""
+_CANONICAL = r"""(?is)^<link\b.*[\s"''/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])"""
+_REFRESH = r"""(?is)^<meta\b.*[\s"''/]http-equiv\s*=\s*["'']?refresh\b"""
+_HREF = r"""(?is)[\s"''/]href\s*=\s*["'']?\s*([^"''\s>]+)"""
+_CONTENT = r"""(?is)[\s"''/]content\s*=\s*["''][^"'']*?url\s*=\s*([^"''\s>]+)"""
 
 
 def op6(rules: list[tuple[str, str, str]]) -> str:
@@ -39,19 +40,20 @@ def op6(rules: list[tuple[str, str, str]]) -> str:
     rule = " ".join(f"when {f} then '{h}{p}'" for f, (_, h, p) in zip(fits, ranked, strict=True))
     verdict = " ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(fits, ranked, strict=True))
     return rf"""
-with recursive t as (select url, unnest(regexp_extract_all(html, '{_TAG}')) as t from pages where contains(url, '://')),
-e as (select url as a, case when regexp_matches(t, '{_CANONICAL}') then regexp_extract(t, '{_HREF}', 1) else regexp_extract(t, '{_CONTENT}', 1) end as b
+with recursive t as (select split_part(url, '#', 1) as url, unnest(regexp_extract_all(regexp_replace(html, '{_RAW}', ' ', 'g'), '{_TAG}')) as t from pages where contains(url, '://')),
+x as (select url as a, case when regexp_matches(t, '{_CANONICAL}') then regexp_extract(t, '{_HREF}', 1) else regexp_extract(t, '{_CONTENT}', 1) end as b
     from t where regexp_matches(t, '{_CANONICAL}') or regexp_matches(t, '{_REFRESH}')),
+e as (select a, split_part(replace(b, '&amp;', '&'), '#', 1) as b from x),
 s as (select a, b from e where contains(b, '://') and a <> b union select b, a from e where contains(b, '://') and a <> b),
 r(n, m) as (select a, a from s union select r.n, s.b from r join s on r.m = s.a),
 c as (select n, min(m) as component from r group by n),
 u as (select url from pages union select n from c),
-x as (select url, coalesce(regexp_extract(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end, '(?s)^([^?#]*)', 1), '') as rest from u),
-h as (select url, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(rest, length(split_part(rest, '/', 1)) + 1) as path from x),
+k as (select url, coalesce(regexp_extract(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end, '(?s)^([^?#]*)', 1), '') as rest from u),
+h as (select url, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, substr(rest, length(split_part(rest, '/', 1)) + 1) as path from k),
 d as (select url, host, path, case {rule} end as rule, case {verdict} end as decision from h),
 g as (select component, min(decision) as decision from c join d on d.url = c.n group by component)
 select page_id, d.host, d.path, d.rule, coalesce(d.decision, g.decision, 'allow') as verdict, c.component as alias_of
-from pages p join d on p.url is not distinct from d.url left join c on c.n = p.url left join g on g.component = c.component
+from pages p join d on p.url is not distinct from d.url left join c on c.n = split_part(p.url, '#', 1) left join g on g.component = c.component
 """
 
 

@@ -3,7 +3,9 @@
 A url is split into host and path by plain string functions. Rules name a host suffix and a path prefix; the
 longest rule that fits decides. Urls without a rule take the decision of their alias group: the connected
 component over redirect edges (meta refresh) and canonical-link edges found in the pages, plus any edges
-given. In a group, an explicit allow of any member goes before blocks of others; a url's own rule always stands.
+given. In a group, an explicit allow of any member goes before blocks of others; a url's own rule always stands. Urls that
+differ in their fragments only are one url there. Tags are read in order, so what stands in comments, in scripts and other raw
+text, or in another tag's quoted attributes is no tag.
 
 Of rules of equal length that fit, the greatest by text (host and path together) and then by decision stands. Rules are
 compiled into one conditional expression when there are few, and joined by host suffix otherwise, with the same results.
@@ -101,10 +103,19 @@ def _resolved(url: Column, ref: Column) -> Column:
     return F.when(url.contains("://") & (ref != ""), named)
 
 
+#: Comments, elements whose content is text, and tags with their quoted attributes, each as a whole.
+_ATTRIBUTES = r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
+TOKENS = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|title|textarea|xmp|iframe|noembed|noframes)(?=[\s/>]){_ATTRIBUTES}.*?(?:</\1(?=[\s/>])|\z)|</?[a-z]{_ATTRIBUTES}"
+
+
+def without_fragment(url: Column) -> Column:
+    return F.substring_index(url, "#", 1)
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (a, b) between a page's url and what its canonical links and meta refreshes name, resolved against its base or url."""
-    tags = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)canonical|refresh"))
-    base = _attribute(F.regexp_extract(F.col(html_col), r"(?is)<base\b[^>]*[\s\"'/]href\s*=[^>]*>", 0), "href")
+    held = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(TOKENS), F.lit(0)), lambda t: t.rlike(r"(?is)\A<(?:(?:link|meta)[\s/].*(?:canonical|refresh)|base[\s/].*href)"))
+    is_base = lambda t: t.rlike(r"(?i)\A<base")
 
     def named(t):
         canonical = t.rlike(r"(?i)\A<link") & F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical")
@@ -114,19 +125,23 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         bare = lambda x: F.when(x.rlike(r"\A[\"']"), F.regexp_extract(x, r"(?s)\A([\"'])(.*?)(?:\1|\z)", 2)).otherwise(x)
         return F.when(canonical, _attribute(t, "href")).when(refresh, _bound(target, bare))
 
+    def resolved(tags):
+        base = resolve(F.col(url_col), _attribute(F.coalesce(F.get(F.filter(tags, is_base), F.lit(0)), F.lit("")), "href"))
+        return _bound(F.coalesce(base, F.col(url_col)), lambda at: F.transform(F.filter(tags, lambda t: ~is_base(t)), lambda t: without_fragment(resolve(at, named(t)))))
+
     # all inside one expression, which is not repeated as a filter on its result would repeat it
-    targets = _bound(F.coalesce(resolve(F.col(url_col), base), F.col(url_col)), lambda at: F.filter(F.transform(tags, lambda t: resolve(at, named(t))), lambda b: b.isNotNull()))
+    targets = _bound(held, lambda tags: F.filter(resolved(tags), lambda b: b.isNotNull()))
     found = pages.where(F.col(html_col).rlike(r"(?i)canonical|http-equiv") & F.col(url_col).contains("://"))
-    return found.select(F.col(url_col).alias("a"), F.explode(targets).alias("b"))
+    return found.select(without_fragment(F.col(url_col)).alias("a"), F.explode(targets).alias("b"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
-    """id_col, host, path, rule, verdict, alias_of (the least url of the alias group, null without aliases). redirects: more edges (a, b)."""
+    """id_col, host, path, rule, verdict, alias_of (the least url of the alias group, without fragment; null without aliases). redirects: more edges (a, b)."""
     host, path = host_and_path(F.col(url_col))
     own = with_rule(pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path")), rules)
     edges = page_edges(pages, url_col, html_col) if html_col else None
     if redirects is not None:
-        more = redirects.select(F.col(redirects.columns[0]).alias("a"), F.col(redirects.columns[1]).alias("b"))
+        more = redirects.select(*(without_fragment(F.col(c)).alias(n) for c, n in zip(redirects.columns, "ab", strict=True)))
         edges = more if edges is None else edges.union(more)
     if edges is None:
         return own.select(id_col, "host", "path", "rule", F.coalesce("decision", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("alias_of"))
@@ -136,5 +151,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, r
     members = with_rule(groups.select("node", "component", host.alias("host"), path.alias("path")), rules)
     decided = members.groupBy("component").agg(F.min("decision").alias("group_decision"))  # "allow" is the lesser
     of_url = groups.join(decided, "component").select(F.col("node").alias("url"), F.col("component").alias("alias_of"), "group_decision")
-    out = own.join(of_url, "url", "left")
+    out = own.withColumn("url", without_fragment(F.col("url"))).join(of_url, "url", "left")
     return out.select(id_col, "host", "path", "rule", F.coalesce("decision", "group_decision", F.lit("allow")).alias("verdict"), "alias_of")

@@ -14,9 +14,12 @@ projections of its own.
 K grows with the logarithm of the number of classes (of all lengths), so that a bucket of unrelated vectors stays small, and T
 with it, so that a pair at the least similarity is missed with a probability of at most ``MISS`` (less above it).
 
+Vectors are scaled by powers of two before products are taken, so neither great nor small components are lost.
+
 Defined results: a vector that is null, empty, zero or with null or non-finite
-components has no links and is its own component; rows with equal vec_id are rows of one node (the first of its
-vectors stands for it); a null vec_id has no component; further columns are ignored.
+components has no links and is its own component; rows with equal vec_id and vector are one vector; different vectors with one vec_id
+are vectors of their own in one component, each with its own links (the others of that vec_id count where they are near); a null
+vec_id has no component; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +47,13 @@ def plan(classes: int, cosine: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-agree))
 
 
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, keepdims=True))[1])
+
+
 def _units(matrix: np.ndarray) -> np.ndarray:
+    matrix = _scaled(matrix)
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
@@ -63,8 +72,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     valid = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     solid = rows.where(F.coalesce(valid, F.lit(False)))
-    by_id = solid.groupBy("id").agg(F.min("v").alias("v"))
-    classes = by_id.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")).checkpoint()
+    classes = solid.distinct().groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id()).checkpoint()
     bits, tables = plan(classes.count(), cosine)
     short = np.int16 if bits < 15 else np.int32  # rows are repeated for each table, so they are kept small
 
@@ -77,7 +85,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 if len(planes) == HELD:
                     planes.clear()
                 planes[dims] = np.random.default_rng(SEED).standard_normal((dims, bits * tables))
-            signs = (matrix @ planes[dims] > 0).reshape(-1, tables, bits)
+            signs = (_scaled(matrix) @ planes[dims] > 0).reshape(-1, tables, bits)
             code = (signs * powers).sum(axis=2)
             blob = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.full(len(matrix), dims, np.int32)), blob(matrix.astype(exact)), blob(code.astype(short)), pa.ListArray.from_arrays(np.arange(0, code.size + 1, tables, dtype=np.int32), pa.array(code.reshape(-1).astype(np.int32)))], ["c", "n", "dims", "vector", "codes", "list"])
@@ -138,10 +146,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ready = dealt.join(coded.select("c", "n", "vector", "codes"), "c").select("dims", "t", "code", "i", "j", "side", "c", "n", "vector", "codes")
     found = ready.repartition(parts, "dims", "t", "code", "i", "j").sortWithinPartitions("dims", "t", "code", "i", "j", "side").mapInArrow(compare, "c long, links long, to long").checkpoint()
-    groups = connected_components(found.where("c != to").select("c", "to"), native=False)
+    # an id's different vectors belong together
+    print_of = F.xxhash64("v")
+    several = solid.groupBy("id").agg(F.min(print_of).alias("a"), F.max(print_of).alias("b")).where("a != b").select("id")
+    held = solid.join(several, "id", "left_semi").join(classes.select("v", "c"), "v").select("id", "c")
+    joined = held.join(held.groupBy("id").agg(F.min("c").alias("to")), "id").select("c", "to")
+    groups = connected_components(found.select("c", "to").union(joined).where("c != to"), native=False)
+    least = groups.join(classes.select(F.col("c").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    component = groups.join(least, "component").select(F.col("node").alias("c"), "component_id")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
-    of_class = classes.select("v", "c", "n").join(links, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left")
-    of_class = of_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
-    of_id = by_id.join(of_class, "v").select("id", "n_links", "component_id")
-    out = rows.select("id").join(of_id, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    of_class = classes.join(links, "c", "left").join(component, "c", "left")
+    of_class = of_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    # rows without a vector to compare find none
+    known = rows.select("id", F.when(F.coalesce(valid, F.lit(False)), F.col("v")).alias("v"))
+    found_rows = known.where("v is not null").join(of_class, "v").select("id", "n_links", "component_id")
+    out = found_rows.union(known.where("v is null").select("id", F.lit(0).cast("long"), "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
