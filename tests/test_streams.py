@@ -1,12 +1,15 @@
-"""Streams: a paged listing with refusals and restarts."""
+"""Streams: a paged listing with refusals and restarts, and events of cases."""
 
 import collections
 import http.server
+import json
 import threading
+import time
 
 import pytest
 
-from vigilake.streaming import listing
+from vigilake.operators.reports import SOURCES
+from vigilake.streaming import case_events, listing
 
 
 @pytest.fixture
@@ -58,3 +61,75 @@ def test_waits():
         wait = listing.next_wait(wait, refused)
         seen.append(round(wait, 4))
     assert seen == [2, 4, 8, 8, 6.8, 5.78, 4.913]
+
+
+NAMES = [x[0] for x in SOURCES]
+
+
+def put(folder, name, rows):
+    keys = ("case_id", "kind", "source", "status", "text", "refs", "header")
+    (folder / f".{name}").write_text("".join(json.dumps(dict(zip(keys, r, strict=True))) + "\n" for r in rows))
+    (folder / f".{name}").rename(folder / f"{name}.json")
+
+
+def answer(case, source, status="ok", text="said", refs=None):
+    return case, "answer", source, status, text, refs, None
+
+
+def request(case, **header):
+    return case, "request", None, None, None, None, json.dumps(header)
+
+
+def test_case_events_over_restarts_and_silent_sources(spark, tmp_path):
+    """A case that is complete, one that is in the middle at a restart and then loses two sources, and answers before their request."""
+    source, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    source.mkdir()
+
+    def start(seconds):
+        rows = spark.readStream.schema(case_events.INPUT).json(str(source))
+        return case_events.case_events(rows, seconds).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start(target)
+
+    def events():
+        found = collections.defaultdict(list)
+        if not (tmp_path / "out" / "_spark_metadata").exists():
+            return found
+        for r in sorted(spark.read.schema(case_events.EVENTS).parquet(target).collect(), key=lambda r: (r["case_id"], r["seq"])):
+            found[r["case_id"]].append((r["seq"], r["tipo"], json.loads(r["payload"])))
+        return found
+
+    def until(done, seconds=60):
+        """Timers keep a query busy, so it is watched by what it gives."""
+        end = time.time() + seconds
+        while time.time() < end and not done():
+            time.sleep(0.5)
+        assert done()
+
+    put(source, "1", [request("a", farmaco="x", ram="y"), *(answer("a", s) for s in NAMES[:4]), answer("b", NAMES[2], "error", "down"), answer("b", "nobody"), (None, "request", None, None, None, None, "{}")])
+    query = start(300)
+    until(lambda: len(events()["a"]) == 10)
+    query.stop()
+    assert [k for _, k, _ in events()["a"]] == ["cabecera", "progreso", *["seccion", "progreso"] * 4] and "b" not in events()
+    put(source, "2", [answer("a", NAMES[0], text="again"), *(answer("a", s, refs='[{"pmid": "1"}]' if s == "PubMed" else None) for s in NAMES[4:]), request("b", farmaco="z"), *(answer("b", s, text=f"text of {s}", refs='[{"ft_url": "u"}]' if s == "CIMA" else "broken") for s in NAMES[:5] if s != NAMES[2])])
+    query = start(12)
+    until(lambda: [k for _, k, _ in events()["b"]].count("seccion") == 5)
+    query.stop()
+    query = start(12)
+    until(lambda: events()["b"][-1][1] == "fin")
+    put(source, "3", [answer("b", NAMES[6]), answer("a", NAMES[1]), request("a", farmaco="again")])
+    until(lambda: any(s["numInputRows"] == 3 and "File" in s["description"] for p in query.recentProgress for s in p["sources"]))
+    query.stop()
+    got = events()
+    assert set(got) == {"a", "b"} and all([n for n, *_ in x] == list(range(len(x))) for x in got.values())
+    assert [k for _, k, _ in got["a"]] == ["cabecera", "progreso", *["seccion", "progreso"] * 7, "referencias", "fin"]
+    assert got["a"][0][2] == {"farmaco": "x", "ram": "y"} and got["a"][-2][2] == {"ft_url": "", "pubmed": [{"pmid": "1"}] if "PubMed" in NAMES[4:] else [], "pathway_commons": [], "fda": {}, "prac": []}
+    cards = {p["fuentes"][0]: (p["estado"], p["contenido"]["texto"]) for _, k, p in got["b"] if k == "seccion"}
+    assert cards == {s: ("ok", f"text of {s}") for s in NAMES[:5]} | {NAMES[2]: ("error", "Error: down")} | {s: ("error", case_events.SILENT) for s in NAMES[5:]}
+    assert got["b"][-2][2]["ft_url"] == "u" and got["b"][-1][2] == {"mensaje": case_events.DONE, "session_id": "b"}
+
+
+def test_requests_and_answers_are_one_table(spark):
+    cases = spark.createDataFrame([(1, "x", None)], "case_id int, farmaco string, `a.b` string")
+    found = spark.createDataFrame([(1, "CIMA", "ok", "t", None)], "case_id int, source string, status string, text string, refs string")
+    rows = case_events.requests_and_answers(cases, found)
+    assert rows.schema.simpleString() == spark.createDataFrame([], case_events.INPUT).schema.simpleString()
+    assert {(r["case_id"], r["kind"], r["header"]) for r in rows.collect()} == {("1", "request", '{"farmaco":"x","a.b":null}'), ("1", "answer", None)}
