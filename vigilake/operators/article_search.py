@@ -37,7 +37,9 @@ def words(text: Column) -> Column:
 def word_positions(articles: DataFrame, id_col: str = "pmid", text_col: str = "text") -> DataFrame:
     """word, id, version (of the text), n (words of the text), pos; a plan without a shuffle."""
     cut = articles.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), words(F.col(text_col)).alias("words"))
-    return cut.select("id", "version", F.size("words").cast("long").alias("n"), F.posexplode("words").alias("pos", "word")).select("word", "id", "version", "n", "pos")
+    # outer: otherwise the words are made once more for a filter on their number
+    rows = cut.select("id", "version", F.size("words").cast("long").alias("n"), F.posexplode_outer("words").alias("pos", "word"))
+    return rows.where("word is not null").select("word", "id", "version", "n", "pos")
 
 
 def write_positions(positions: DataFrame, path: str, buckets: int = 256) -> None:
@@ -60,13 +62,21 @@ def phrases_of(queries: DataFrame, query: str = "query_id", groups: str = "group
     return parts.select("query", "part", F.explode("phrases").alias("x")).select("query", "part", F.array_join(words(F.col("x")), " ").alias("phrase")).where("phrase != ''").distinct()
 
 
-def find_phrases(positions: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase, id, version, n, tf: how often each of the distinct phrases is in each text."""
+def repeated_rows(articles: DataFrame, id_col: str = "pmid", text_col: str = "text") -> DataFrame:
+    """id, version, copies: rows that stand in the table several times."""
+    own = articles.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"))
+    return own.groupBy("id", "version").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def find_phrases(positions: DataFrame, phrases: DataFrame, repeated: DataFrame) -> DataFrame:
+    """phrase, id, version, n, tf: how often each of the distinct phrases is in each text. repeated: of ``repeated_rows``, whose positions come as often."""
     slots = phrases.select("phrase").distinct().select("phrase", F.size(F.split("phrase", " ")).alias("size"), F.posexplode(F.split("phrase", " ")).alias("nth", "word"))
-    met = positions.join(broadcast_if_small(slots), "word").select("phrase", "size", "nth", "id", "version", "n", (F.col("pos") - F.col("nth")).alias("start"))
-    one = met.where("size = 1").select("phrase", "id", "version", "n", "start").distinct()
-    more = met.where("size > 1").groupBy("phrase", "size", "id", "version", "n", "start").agg(F.count_distinct("nth").alias("seen")).where("seen = size")
-    return one.union(more.select("phrase", "id", "version", "n", "start")).groupBy("phrase", "id", "version", "n").agg(F.count("*").alias("tf"))
+    # one word needs no start; words of a text are in one task, so the first aggregate is all but done before its shuffle
+    start = F.when(F.col("size") > 1, F.col("pos") - F.col("nth"))
+    met = positions.join(broadcast_if_small(slots), "word").groupBy("phrase", "size", "id", "version", "n", start.alias("start")).agg(F.count("*").alias("seen"))
+    times = F.expr("case when size = 1 then seen div coalesce(copies, 1) when seen = size * coalesce(copies, 1) then 1 else 0 end")
+    found = met.join(broadcast_if_small(repeated), ["id", "version"], "left").groupBy("phrase", "id", "version", "n").agg(F.sum(times).alias("tf"))
+    return found.where("tf > 0")
 
 
 def search(articles: DataFrame, queries: DataFrame, most: int = 2, id_col: str = "pmid", text_col: str = "text", query: str = "query_id", groups: str = "groups", positions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +90,7 @@ def search(articles: DataFrame, queries: DataFrame, most: int = 2, id_col: str =
     n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_\p{Mn}]*")), F.lit(0))
     corpus = articles.where(F.col(id_col).isNotNull()).agg(F.count_if(n_words > 0).alias("n"), F.sum(F.when(n_words > 0, n_words)).alias("words")).first()
     n_articles, mean = corpus["n"], (corpus["words"] or 0) / max(1, corpus["n"])
-    found = settled(find_phrases(word_positions(articles, id_col, text_col) if positions is None else positions, asked))
+    found = settled(find_phrases(word_positions(articles, id_col, text_col) if positions is None else positions, asked, repeated_rows(articles, id_col, text_col)))
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     weighed = asked.join(df, "phrase")
     rarest = weighed.groupBy("query", "part").agg(F.sum("df").alias("list")).groupBy("query").agg(F.min(F.struct("list", "part")).alias("x"), F.count("*").alias("alive")).join(size, "query").where("alive = parts").select("query", "parts", F.col("x.part").alias("part"))

@@ -40,7 +40,7 @@ def literature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = r"list_filter(list_transform(string_split(regexp_replace(s4, '(^|\n)(4\.\d+(\.\d+)*\.?\s)', chr(1) || '\1\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
-@query(rf"""with b as (select item_id, {_CUT} as w from benchmark), c as (select item_id as case_id, w[5] as drug, w[6] as t1, w[7] || ' ' || w[8] as t2 from b where len(w) >= 8),
+@query(rf"""with b as (select item_id, {_CUT} as w from benchmark), c as (select item_id as case_id, w[5] || ' ' || w[6] as drug, w[7] as t1, w[8] || ' ' || w[9] as t2 from b where len(w) >= 9),
  d as (select doc_id, '4.1. ' || substr(text, 1, length(text) // 2) || chr(10) || '4.1.2 ' || substr(text, length(text) // 2 + 1) || chr(10) || '4.2 end' as s4 from documents where text is not null),
  m as (select case_id, t1, t2, drug, doc_id, s4 from c join d on contains(lower(s4), drug)),
  p as (select case_id, doc_id, t1, t2, drug, unnest(ps) as part, generate_subscripts(ps, 1) as pos from (select *, {_PARTS} as ps from m)),
@@ -49,10 +49,10 @@ _PARTS = r"list_filter(list_transform(string_split(regexp_replace(s4, '(^|\n)(4\
  select m.case_id, 'f' || m.doc_id as filename, coalesce(with_reaction, false) as with_reaction, coalesce(case when with_reaction then n_hit else n_all end, 0)::int as n_fragments,
  case when not coalesce(with_reaction, false) then '' when any1 and any2 then case when seen like '2%' then u2 || ', ' || u1 else u1 || ', ' || u2 end when any1 then u1 else u2 end as terms from m left join a using (case_id, doc_id)""")
 def minutes_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-03, JOIN-11, AGG-06 for a table of cases: documents with headings as minutes; a benchmark item's fifth word is its drug, the next its terms."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", article_search.words(F.col("text")).alias("w")).where(F.size("w") >= 8)
+    """FLT-03, JOIN-11, AGG-06 for a table of cases: documents with headings as minutes; two words of a benchmark item are its drug, the next its terms."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", article_search.words(F.col("text")).alias("w")).where(F.size("w") >= 9)
     word = lambda i: F.get("w", F.lit(i))
-    cases = items.select(F.col("item_id").alias("case_id"), word(4).alias("inn"), F.array(word(5), F.concat_ws(" ", word(6), word(7))).alias("terms"))
+    cases = items.select(F.col("item_id").alias("case_id"), F.concat_ws(" ", word(4), word(5)).alias("inn"), F.array(word(6), F.concat_ws(" ", word(7), word(8))).alias("terms"))
     half = F.floor(F.length("text") / 2).cast("int")
     section = F.concat(F.lit("4.1. "), F.substr("text", F.lit(1), half), F.lit("\n4.1.2 "), F.substr("text", half + 1), F.lit("\n4.2 end"))
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"), F.lit("d").alias("date"), F.lit("minutes").alias("source"), section.alias("section4"))
