@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
@@ -87,14 +88,21 @@ def signals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SIGNALS).json(path, multiLine=True)
 
 
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: OrderedDict[tuple[str, str], DataFrame] = OrderedDict()
+#: Fixed value: lookup tables that are kept (STM-09).
+KEPT = 256
 
 
 def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """STM-09: a lookup table that is made and cached once for an application and used again by later calls."""
+    """STM-09: a lookup table that is made and cached once for an application and used again by later calls; the one not used for longest goes when there are more than KEPT."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _kept:
         _kept[key] = make().persist()
+    _kept.move_to_end(key)
+    while len(_kept) > KEPT:
+        (application, _), old = _kept.popitem(last=False)
+        if application == key[0]:
+            old.unpersist()
     return _kept[key]
 
 

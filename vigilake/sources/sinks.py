@@ -28,12 +28,20 @@ def event_stream(events: DataFrame, payload: list[str]) -> DataFrame:
 
 
 def save_sessions(cases: DataFrame, path: str) -> None:
-    """SNK-05: evidence by session id, appended."""
-    cases.write.mode("append").parquet(path)
+    """SNK-05: evidence by session id (session_id and further columns), appended with the time; a session that is saved again has a new version."""
+    cases.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def latest_sessions(sessions: DataFrame) -> DataFrame:
+    """SNK-05: the latest version of each session, of equal times the one of the greatest digest; rows without an id go."""
+    named = [F.col(f"`{c}`") for c in sessions.columns]
+    order = F.struct("saved_at", F.sha2(F.to_json(F.struct(*named)), 256))
+    return sessions.where("session_id is not null").groupBy("session_id").agg(F.max_by(F.struct(*named), order).alias("x")).select("x.*")
 
 
 def load_session(sessions: DataFrame, session_id: str) -> DataFrame:
-    return sessions.where(F.col("session_id") == session_id)
+    """SNK-05: the latest version of one session."""
+    return latest_sessions(sessions.where(F.col("session_id") == session_id))
 
 
 def run_statistics(rows: DataFrame) -> DataFrame:
