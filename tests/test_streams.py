@@ -133,3 +133,25 @@ def test_requests_and_answers_are_one_table(spark):
     rows = case_events.requests_and_answers(cases, found)
     assert rows.schema.simpleString() == spark.createDataFrame([], case_events.INPUT).schema.simpleString()
     assert {(r["case_id"], r["kind"], r["header"]) for r in rows.collect()} == {("1", "request", '{"farmaco":"x","a.b":null}'), ("1", "answer", None)}
+
+
+def test_postings_are_kept_up_to_date(spark, tmp_path):
+    """Counts equal a full recount after each batch; a batch that is run again and a file that comes again count once."""
+    from vigilake.sources.readers import SIGNALS
+    from vigilake.streaming import postings
+
+    source, target, checkpoint = str(tmp_path / "minutes"), str(tmp_path / "postings"), str(tmp_path / "checkpoint")
+    terms = spark.createDataFrame([(x,) for x in ("fever", "High Fever", "fiébre", "absent", "?", None, "fever")], "term string")
+    counts = lambda: {r["term"]: r["n_docs"] for r in postings.phrase_counts(spark, target, terms).collect()}
+    assert counts() == {"fever": 0, "High Fever": 0, "fiébre": 0, "absent": 0, "?": 0}
+    rows = lambda *x: spark.createDataFrame([(n, "minutes", "d", t, "ok", len(t or "")) for n, t in x], SIGNALS)
+    first = rows(("a", "high fever, fever"), ("b", "Fever. high"), ("c", None), (None, "fever"), ("a", "high fever, fever"))
+    first.write.mode("append").parquet(source)
+    postings.maintain(spark, source, target, checkpoint)
+    assert counts() == {"fever": 2, "High Fever": 1, "fiébre": 0, "absent": 0, "?": 0}
+    postings.write_batch(first, 0, target)  # the batch again
+    postings.maintain(spark, source, target, checkpoint)  # nothing new
+    assert counts() == {"fever": 2, "High Fever": 1, "fiébre": 0, "absent": 0, "?": 0}
+    rows(("b", "fiebre only"), ("d", "a HIGH  fever")).write.mode("append").parquet(source)
+    postings.maintain(spark, source, target, checkpoint)
+    assert counts() == {"fever": 2, "High Fever": 2, "fiébre": 1, "absent": 0, "?": 0}
