@@ -111,6 +111,18 @@ REPORT_SOURCES = (
 )
 
 
+#: Labels of a report prompt's head, each before a column of the case, with what stands for a missing one.
+REPORT_HEAD = (
+    ("Farmaco: ", "drug", ""),
+    ("\nRAM evaluada: ", "reaction", ""),
+    ("\nSexo: ", "sex", ""),
+    (" | Edad: ", "age", ""),
+    (" | Etnia: ", "ethnicity", ""),
+    ("\nRAM en ficha tecnica (validacion previa): ", "found", "desconocido"),
+    ("\nURL Ficha Tecnica: ", "ft_url", ""),
+)
+
+
 def report_prompt(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     """RND-08/FLT-15: case_id, prompt: the case, then every source once in fixed order, those without information by fixed sentences.
 
@@ -118,8 +130,7 @@ def report_prompt(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     texts = evidence.groupBy("case_id").agg(*(F.max(F.when(F.col("source") == k, F.col("text"))).alias(f"t{i}") for i, (k, _) in enumerate(REPORT_SOURCES)))
     own = cases.join(texts, "case_id", "left")
-    say = lambda c: F.coalesce(F.col(c), F.lit(""))
-    head = F.concat(F.lit("Farmaco: "), say("drug"), F.lit("\nRAM evaluada: "), say("reaction"), F.lit("\nSexo: "), say("sex"), F.lit(" | Edad: "), say("age"), F.lit(" | Etnia: "), say("ethnicity"), F.lit("\nRAM en ficha tecnica (validacion previa): "), F.coalesce("found", F.lit("desconocido")), F.lit("\nURL Ficha Tecnica: "), say("ft_url"))
+    head = F.concat(*(x for label, c, missing in REPORT_HEAD for x in (F.lit(label), F.coalesce(F.col(c), F.lit(missing)))))
     canned = {"CIMA": NO_DATASHEET, "PRAC/EMA": NO_MINUTES}
     blocks = []
     for i, (source, label) in enumerate(REPORT_SOURCES):
@@ -129,20 +140,34 @@ def report_prompt(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     return own.select("case_id", F.concat_ws("\n\n", head, *blocks).alias("prompt"))
 
 
+#: Wording of the prompt for a combination (RND-10).
+ALERT = ("ALERTA: ", " menciona a ", ' en sección 4.5: "', '"\n')
+SHEET = ("\n[", " — sección 4.5]:\n", "\n")
+NO_SHEET, NO_SHEETS = "Sin datos", "Sin datos disponibles"
+COMBINATION = (
+    "Fármacos en combinación: ",
+    "\nRAM evaluada: ",
+    "\n\n--- CIMA sección 4.5 (interacciones en ficha técnica) ---\n",
+    "\n\n--- DrugBank (interacciones entre fármacos) ---\n",
+    "\n\n--- PubMed (literatura sobre esta combinación + RAM) ---\n",
+)
+
+
 def interaction_prompt(cases: DataFrame, sheets: DataFrame, mentions: DataFrame, known: DataFrame, literature: DataFrame) -> DataFrame:
     """RND-10: case_id, prompt of a combination: alerts of cross mentions, each drug's section 4.5, interactions, literature.
 
     cases: case_id, reaction, names (array). sheets: case_id, i, name, text (null: none). mentions: case_id, i, j, source, mentioned,
     snippet. known, literature: case_id, text.
     """
-    alert = F.concat(F.lit("ALERTA: "), F.col("source"), F.lit(" menciona a "), F.col("mentioned"), F.lit(' en sección 4.5: "'), F.col("snippet"), F.lit('"\n'))
+    alert = F.concat(F.lit(ALERT[0]), "source", F.lit(ALERT[1]), "mentioned", F.lit(ALERT[2]), "snippet", F.lit(ALERT[3]))
     joined = lambda rows, order, line, name: rows.groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "").alias(name))
-    block = F.concat(F.lit("\n["), F.col("name"), F.lit(" — sección 4.5]:\n"), F.coalesce("text", F.lit("Sin datos")), F.lit("\n"))
+    block = F.concat(F.lit(SHEET[0]), "name", F.lit(SHEET[1]), F.coalesce("text", F.lit(NO_SHEET)), F.lit(SHEET[2]))
     own = cases.join(joined(mentions, ["i", "j"], alert, "alerts"), "case_id", "left").join(joined(sheets, ["i"], block, "blocks"), "case_id", "left")
     own = own.join(known.select("case_id", F.col("text").alias("known")), "case_id", "left").join(literature.select("case_id", F.col("text").alias("literature")), "case_id", "left")
     blank = F.lit("")
     said = strip(F.concat(F.coalesce("alerts", blank), F.coalesce("blocks", blank)))
-    return own.select("case_id", F.concat(F.lit("Fármacos en combinación: "), F.array_join("names", " + "), F.lit("\nRAM evaluada: "), F.coalesce("reaction", blank), F.lit("\n\n--- CIMA sección 4.5 (interacciones en ficha técnica) ---\n"), F.when(said == "", "Sin datos disponibles").otherwise(said), F.lit("\n\n--- DrugBank (interacciones entre fármacos) ---\n"), or_unavailable(F.col("known")), F.lit("\n\n--- PubMed (literatura sobre esta combinación + RAM) ---\n"), or_unavailable(F.col("literature"))).alias("prompt"))
+    parts = F.array_join("names", " + "), F.coalesce("reaction", blank), F.when(said == "", NO_SHEETS).otherwise(said), or_unavailable(F.col("known")), or_unavailable(F.col("literature"))
+    return own.select("case_id", F.concat(*(x for label, part in zip(COMBINATION, parts, strict=True) for x in (F.lit(label), part))).alias("prompt"))
 
 
 #: Dimensions of a report with titles and sources (RND-09).

@@ -30,8 +30,9 @@ from vigilake.session import ship
 SECONDS = 45
 EVENTS = "case_id string, seq long, tipo string, payload string"
 INPUT = "case_id string, kind string, source string, status string, text string, refs string, header string"
-#: What a card says of a source that was silent, and the message of the end.
-SILENT, DONE = "Sin respuesta (timeout)", "Análisis completado"
+#: What a card says of a source that was silent, and messages of progress and end ({} is the source).
+SILENT, BEGUN, DONE = "Sin respuesta (timeout)", "Buscando evidencia en fuentes externas...", "Análisis completado"
+NOTES = {"ok": "✓ {} obtenida", "timeout": "⏱ {} — sin respuesta (timeout)", "error": "✗ {} — error"}
 #: The references of the event by the sources that give them, with what stands for none.
 REFERENCES = {"pubmed": ("PubMed", []), "pathway_commons": ("PathwayCommons", []), "fda": ("FDA FAERS", {}), "prac": ("PRAC/EMA", [])}
 _CARDS = {name: (card, title) for name, card, title, _ in SOURCES}
@@ -77,7 +78,7 @@ class CaseEvents(StatefulProcessor):
         return {"case_id": key[0], "seq": seq, "tipo": kind, "payload": json.dumps(payload, ensure_ascii=False, separators=(",", ":"))}
 
     def _said(self, key: tuple, source: str, status: str, text: str | None) -> list[dict]:
-        note = {"ok": f"✓ {source} obtenida", "timeout": f"⏱ {source} — sin respuesta (timeout)"}.get(status, f"✗ {source} — error")
+        note = NOTES.get(status, NOTES["error"]).format(source)
         return [self._event(key, "seccion", **card(source, status, text)), self._event(key, "progreso", mensaje=note)]
 
     def _end(self, key: tuple) -> list[dict]:
@@ -104,7 +105,7 @@ class CaseEvents(StatefulProcessor):
                 fresh.append(row["source"])
         if head is not None and not opened:
             opened, fresh = True, [k[0] for k in self.answers.keys()]
-            out += [self._event(key, "cabecera", **json.loads(head)), self._event(key, "progreso", mensaje="Buscando evidencia en fuentes externas...")]
+            out += [self._event(key, "cabecera", **json.loads(head)), self._event(key, "progreso", mensaje=BEGUN)]
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.seconds))
         if opened:
             for source in sorted(fresh, key=list(_CARDS).index):
