@@ -70,8 +70,9 @@ def send(requests: DataFrame, fetch: Fetcher, rate: float, lanes: int, timeout:
             out = []
             for key in zip(pdf["host"], pdf["lane"], strict=True):
                 time.sleep(max(0.0, free.get(key, 0.0) - time.monotonic()))
-                free[key] = time.monotonic() + pause
                 out.append(one(pdf["request"].iloc[len(out)]))
+                # from the end of an answer, so that requests never reach the host closer together, however long they are on their way
+                free[key] = time.monotonic() + pause
             for i, name in enumerate(("status", "body", "error")):
                 pdf[name] = [x[i] for x in out]
             pdf["status"] = pdf["status"].astype("Int32")
