@@ -67,6 +67,18 @@ def test_article_search(spark, tmp_path):
     assert none.count() == 0 and {x["total"] for x in zero.collect()} == {0}
 
 
+def test_article_search_where_texts_are_read(spark, monkeypatch):
+    """Queries that fit in the tasks need no table of positions, and find what joins of positions find."""
+    articles, queries = articles_and_queries()
+    frame, asked = spark.createDataFrame(articles, "pmid string, text string"), spark.createDataFrame(queries, "query_id int, groups array<array<string>>")
+    joined = article_search.search(frame, asked, 3, shipped=0)
+    assert {tuple(x) for x in joined[0].collect()} == brute_search(articles, queries, 3)[0]
+    monkeypatch.setattr(article_search, "word_positions", None)
+    hits, totals = article_search.search(frame, asked, 3)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, joined[0].collect()))
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, joined[1].collect()))
+
+
 def test_sections_of_cases(spark):
     articles = [("1", "Case report of fever", "ibuprofen in a child"), ("2", "A case", "ibuprofen, high fever"), ("3", None, "Risk factor: ibuprofen and fever and a case series"), ("4", "ibuprofen rash", ""), ("5", "Naproxen", "and rash")]
     cases = [("a", "ibuprofen", ["fever", "high fever"]), ("b", "naproxen", ["rash"]), ("c", "aspirin", ["rash"]), ("d", "x", [])]
