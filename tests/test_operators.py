@@ -1,5 +1,6 @@
 """Operators on small hand-made tables with expected values derived from the rules."""
 
+import collections
 from urllib.parse import urljoin
 
 import pytest
@@ -186,6 +187,26 @@ def test_judges_are_asked_prompt_by_prompt(spark):
     assert got[7]["error"] == "ValueError: not this one" and "ValueError" in got[8]["error"]
 
 
+def test_reports_are_written_by_all_cores(spark):
+    """Prompts of one small file are dealt to several tasks, and a task's calls share its threads."""
+
+    def who(prompts):
+        import os
+        import threading
+
+        from pyspark import TaskContext
+
+        return [f"{os.getpid()} {threading.get_ident()} {TaskContext.get() is not None}"]
+
+    rows = spark.range(4000).selectExpr("id as case_id", "cast(id as string) as prompt").coalesce(1)
+    got = judge.reports_of(rows, who).selectExpr("case_id", "report", "spark_partition_id() as part").collect()
+    assert sorted(r["case_id"] for r in got) == list(range(4000))
+    assert len({r["part"] for r in got}) >= 4 and min(collections.Counter(r["part"] for r in got).values()) > 500
+    calls = judge.Calls(who, None)
+    assert len({x for x, _ in calls.run(["p"] * 2000)}) <= judge.AT_ONCE
+    calls.close()
+
+
 def test_a_hung_call_costs_its_own_prompt():
     import threading
     import time

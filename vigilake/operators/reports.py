@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.json import compact, or_unavailable, parse_cascade
-from vigilake.functions.text import NO_DATASHEET, NO_MINUTES, or_canned, strip
+from vigilake.functions.text import NO_DATASHEET, NO_MINUTES, bound, or_canned, strip
 from vigilake.session import broadcast_if_small
 
 
@@ -185,10 +185,9 @@ def report_sections(raw: DataFrame, dimensions: tuple[str, ...] = tuple(DIMENSIO
 
     refs: case_id, source, ord, ref (url or file name), found; each dimension then has its references in order.
     """
-    value = parse_cascade(F.col("report"))
     titles, sources = ({k: DIMENSIONS.get(k, (k, ()))[i] for k in dimensions} for i in (0, 1))
-    item = lambda d: F.struct(F.lit(d).alias("dimension"), F.lit(titles[d]).alias("title"), F.lit(", ".join(sources[d])).alias("sources"), F.try_variant_get(value, f"$.{d}", "string").alias("content"))
-    rows = raw.select("case_id", F.explode(F.array(*map(item, dimensions))).alias("x")).select("case_id", "x.*")
+    item = lambda value, d: F.struct(F.lit(d).alias("dimension"), F.lit(titles[d]).alias("title"), F.lit(", ".join(sources[d])).alias("sources"), F.try_variant_get(value, f"$.{d}", "string").alias("content"))
+    rows = raw.select("case_id", F.explode(bound(parse_cascade(F.col("report")), lambda value: F.array(*(item(value, d) for d in dimensions)))).alias("x")).select("case_id", "x.*")
     rows = rows.withColumn("state", F.when(F.col("content").isNotNull(), "ok").otherwise("error"))
     if refs is None:
         return rows
