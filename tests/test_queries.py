@@ -1,5 +1,7 @@
 """Every registered query of the library against its SQL on DuckDB."""
 
+import uuid
+
 import duckdb
 import pytest
 
@@ -33,3 +35,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["term", "n_docs"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_reports_of_dimensions_are_written_once(spark, sf, tmp_path, monkeypatch):
+    from vigilake.plans import QUERIES, report_queries
+
+    def counted(prompts):
+        (tmp_path / f"{prompts[0]}-{uuid.uuid4().hex}").touch()
+        return dimension_writer(prompts)
+
+    dimension_writer = report_queries.dimension_writer
+    monkeypatch.setattr(report_queries, "dimension_writer", counted)
+    got = QUERIES["report_dimensions"](spark, sf).collect()
+    assert len(got) == 3 * len(list(tmp_path.iterdir())) == 450
