@@ -149,3 +149,18 @@ def test_similar_names(spark, distance):
     for q in {x for x in queries if x and x.strip()}:
         near = sorted((d, k, key) for key, (k, n) in first.items() if (d := edits(q.strip().lower(), key)) <= distance)
         assert found[q] == {(p + 1, first[key][1], d) for p, (d, _, key) in enumerate(near)}, q
+
+
+def test_only_the_first_names_of_a_text_are_ranked(spark, monkeypatch):
+    """Names with one folded text, however many, are cut to a query's bound before they are taken apart; hits stay those of single searches."""
+    pt = spark.range(3000).selectExpr("cast(id as string) as code", "element_at(array('green Apple', 'GREEN pear', 'réd apple'), 1 + cast(id % 3 as int)) as name_en", "'x' as name_es", "id as ord")
+    llt = spark.createDataFrame([], "code string, name_en string, name_es string, pt_code string, ord long")
+    kept = []
+    monkeypatch.setattr(name_search, "settled", lambda rows: kept.append(rows.cache()) or kept[-1])
+    queries = ["apple", "een", "re", "red apple", "12", "299"]
+    got = collections.defaultdict(list)
+    for x in name_search.search_terms(spark.createDataFrame([(q,) for q in queries], "query string"), pt, llt, 5).orderBy("place").collect():
+        got[x["query"]].append((x["code"], x["name_en"], x["tier"]))
+    assert [x.count() for x in kept] == [4 * 2 * 5]
+    for q in queries:
+        assert got[q] == [(x["code"], x["name_en"], x["tier"]) for x in terminology.search(q, pt, llt, 5).collect()] and len(got[q]) == 5, q

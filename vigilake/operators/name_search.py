@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import ascii_fold, bound, strip
-from vigilake.session import broadcast_if_small, ship
+from vigilake.session import broadcast_if_small, settled, ship, spread
 
 #: Characters of all names together that are shipped to the tasks as one automaton; longer lists are joined by grams.
 SHIPPED = 4_000_000
@@ -82,13 +82,14 @@ def _tiers(pt: DataFrame, llt: DataFrame) -> DataFrame:
     rows = pt.select("code", "name_en", "name_es", F.lit("PT").alias("type"), F.lit(None).cast("string").alias("pt_code"), "ord", F.lit(0).alias("first_tier"))
     lower = llt.join(pt.select("code"), "code", "left_anti").select("code", "name_en", "name_es", F.lit("LLT").alias("type"), "pt_code", "ord", F.lit(2).alias("first_tier"))
     each = F.array(*(F.struct((F.col("first_tier") + i).alias("tier"), F.col(f"name_{lang}").alias("name")) for i, lang in enumerate(("en", "es"))))
-    return rows.unionByName(lower).select("code", F.coalesce("name_en", F.lit("")).alias("name_en"), F.coalesce("name_es", F.lit("")).alias("name_es"), "type", "pt_code", "ord", F.explode(each).alias("x")).select("*", "x.tier", ascii_fold(F.col("x.name")).alias("folded")).drop("x")
+    return spread(rows.unionByName(lower), "code").select("code", F.coalesce("name_en", F.lit("")).alias("name_en"), F.coalesce("name_es", F.lit("")).alias("name_es"), "type", "pt_code", "ord", F.explode(each).alias("x")).select("*", "x.tier", ascii_fold(F.col("x.name")).alias("folded")).drop("x")
 
 
 def search_terms(queries: DataFrame, pt: DataFrame, llt: DataFrame, limit: int = 15, query: str = "query") -> DataFrame:
     """TOP-01 for a table of queries: the first ``limit`` (at most 30) hits of each distinct query, as ``terminology.search`` gives them.
 
-    Columns: query, place (from 1), code, name_en, name_es, type, pt_code, tier, ord, pt_name_en. Names and queries are folded once.
+    Columns: query, place (from 1), code, name_en, name_es, type, pt_code, tier, ord, pt_name_en. Names and queries are folded once, and
+    only the first names of each folded text and the asked prefixes of codes are ranked.
     Queries of up to GRAM folded characters take the heads of their gram's list; longer ones start from the list of the rarest of
     their grams. Digits are a prefix of a code. A query that folds to nothing is in all names. Queries under two characters or null
     find nothing.
@@ -108,7 +109,8 @@ def search_terms(queries: DataFrame, pt: DataFrame, llt: DataFrame, limit: int =
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
-    in_names = names.where("folded is not null")
+    # of names with one folded text, which the same queries find, only the first can be among a query's hits
+    in_names = settled(heads(names.where("folded is not null"), "folded"))
     postings = in_names.withColumn("gram", F.explode(F.concat(*(grams(F.col("folded"), k) for k in range(1, GRAM + 1)))))
     text = asked.where(~digits)
     short = text.where(F.length("folded").between(1, GRAM)).join(heads(postings, "gram").select("gram", *hit), F.col("folded") == F.col("gram")).select("query", *hit)
@@ -119,8 +121,9 @@ def search_terms(queries: DataFrame, pt: DataFrame, llt: DataFrame, limit: int =
     long = rarest.join(postings.select("gram", "folded", *hit), "gram").where(F.col("folded").contains(F.col("asked"))).select("query", *hit)
     every = text.where("folded = ''").withColumn("all", F.lit(1)).join(heads(in_names.withColumn("all", F.lit(1)), "all").select("all", *hit), "all").select("query", *hit)
     # codes by their prefixes
-    coded = names.where(F.col("tier") % 2 == 0).withColumn("prefix", F.explode(bound(F.col("code"), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substr(c, F.lit(1), i)))))
-    numbers = asked.where(digits).join(heads(coded, "prefix").select("prefix", *hit), F.col("query") == F.col("prefix")).select("query", *hit)
+    prefixes = asked.where(digits).select(F.col("query").alias("prefix")).distinct()
+    coded = names.where(F.col("tier") % 2 == 0).select(*hit, F.explode(bound(F.col("code"), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substr(c, F.lit(1), i)))).alias("prefix"))
+    numbers = heads(coded.join(broadcast_if_small(prefixes), "prefix"), "prefix").select(F.col("prefix").alias("query"), *hit)
     hits = heads(short.union(long).union(every).union(numbers), "query")
     first = hits.groupBy("query", "code").agg(F.min_by(F.struct(*hit[1:]), F.struct("tier", "ord")).alias("x")).select("query", "code", "x.*")
     found = first.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= limit)
