@@ -164,3 +164,16 @@ def test_only_the_first_names_of_a_text_are_ranked(spark, monkeypatch):
     assert [x.count() for x in kept] == [4 * 2 * 5]
     for q in queries:
         assert got[q] == [(x["code"], x["name_en"], x["tier"]) for x in terminology.search(q, pt, llt, 5).collect()] and len(got[q]) == 5, q
+
+
+def test_sub_sections_are_dealt_to_all_tasks_once(spark, monkeypatch):
+    """A sub-section with several names of cases is kept once, in several files, and whole texts not at all."""
+    from vigilake.operators import signals
+
+    docs = spark.range(200).coalesce(1).selectExpr("concat('f', id) as filename", "'d' as date", "'minutes' as source", "'4.1. ibuprofen and naproxen with High  rash\n4.2 end' as section4")
+    cases = spark.createDataFrame([("1", "ibuprofen", ["high rash"]), ("2", "naproxen", ["fever"])], "case_id string, inn string, terms array<string>")
+    kept, settled = [], signals.settled
+    monkeypatch.setattr(signals, "settled", lambda rows: kept.append(settled(rows)) or kept[-1])
+    got = signals.evidence_of_cases(docs, cases, judged=False)
+    assert {(r["case_id"], r["with_reaction"], r["terms"]) for r in got.collect()} == {("1", True, "high rash"), ("2", False, "")} and got.count() == 400
+    assert kept[0].where("part is not null").count() == 200 and len(kept[0].inputFiles()) >= 4

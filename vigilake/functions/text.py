@@ -146,9 +146,14 @@ def term_hit(text: Column, known: Column, term: str) -> Column:
     return loose | exact
 
 
+def has_marks(text: Column) -> Column:
+    """Whether the text has marks of its own."""
+    return text.rlike(r"[^\x00-\x7F]") & text.rlike(r"\p{Mn}")
+
+
 def _known(text: Column) -> Column:
     """folded, and marked: whether the text has marks of its own."""
-    return F.struct(match_fold(text).alias("folded"), (text.rlike(r"[^\x00-\x7F]") & text.rlike(r"\p{Mn}")).alias("marked"))
+    return F.struct(match_fold(text).alias("folded"), has_marks(text).alias("marked"))
 
 
 def contains_any(text: Column, terms: Sequence[str | None]) -> Column:

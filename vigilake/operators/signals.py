@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.text import clean, contains_any, find_date, last_section, match_fold, matching_terms, mentions, strip, subsections
+from vigilake.functions.text import clean, contains_any, find_date, has_marks, last_section, match_fold, matching_terms, mentions, strip, subsections
 from vigilake.operators import name_search
 from vigilake.operators.judge import Judge, gated, never
 from vigilake.operators.name_search import SHIPPED
 from vigilake.operators.terms import pattern_hit, patterns_of
-from vigilake.session import settled
+from vigilake.session import settled, spread
 
 
 def extract(texts: DataFrame) -> DataFrame:
@@ -61,14 +61,16 @@ def evidence_of_cases(docs: DataFrame, cases: DataFrame, judge: Judge = never, j
     parts = F.concat(F.array("section4"), subsections(F.col("section4")))
     rows = dated.select(*keys, F.posexplode(parts).alias("pos", "part"))
     asked = cases.where(F.coalesce(strip(F.col("inn")), F.lit("")) != "").select("case_id", F.col("inn").alias("drug"), F.lower("inn").alias("name"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-    found = name_search.names_in_texts(rows, asked, "part", "name", shipped).select(*keys, F.col("pos") - 1, "part", F.explode("names").alias("name")).toDF(*keys, "pos", "part", "name")
-    found = settled(found)
+    named = name_search.names_in_texts(rows, asked, "part", "name", shipped).withColumn("pos", F.col("pos") - 1)
+    # of whole texts only the names are needed; the sub-sections, each once with its names, are dealt to all tasks
+    found = settled(spread(named.select(*keys, "pos", F.when(F.col("pos") >= 0, F.col("part")).alias("part"), "names"), *keys, "pos"))
     real = F.filter("terms", lambda t: F.coalesce(strip(t), F.lit("")) != "")
     known = settled(asked.withColumn("patterns", F.transform(real, patterns_of)))
     # each sub-section is folded once, whatever cases it meets
-    folded = found.where("pos >= 0").select(*keys, "pos", "part", "name", match_fold(F.col("part")).alias("folded"))
+    folded = found.where("pos >= 0").select(*keys, "pos", "part", "names", match_fold(F.col("part")).alias("folded"), has_marks(F.col("part")).alias("marked"))
+    folded = folded.select(*keys, "pos", "part", "folded", "marked", F.explode("names").alias("name"))
     met = folded.join(known, "name")
-    hits = F.transform(F.filter("patterns", lambda p: F.coalesce(pattern_hit(F.col("part"), F.col("folded"), p), F.lit(False))), lambda p: p["term"])
+    hits = F.transform(F.filter("patterns", lambda p: F.coalesce(pattern_hit(F.col("part"), F.col("folded"), p, F.col("marked")), F.lit(False))), lambda p: p["term"])
     prompt = F.concat("drug", F.lit("\n"), F.array_join("terms", "\n"), F.lit("\n"), "part")
     direct = met.withColumn("matched", hits).withColumn("direct", F.size("matched") > 0).withColumn("prompt", prompt)
     seen = gated(direct, "direct", "prompt", judge, judged)
@@ -76,7 +78,7 @@ def evidence_of_cases(docs: DataFrame, cases: DataFrame, judge: Judge = never, j
     grouped = seen.groupBy("case_id", *keys).agg(F.bool_or("present").alias("with_reaction"), F.sort_array(F.collect_set(F.struct("pos", "part", shown.alias("terms"), "present"))).alias("all"))
     fragments = F.transform(F.filter("all", lambda x: x["present"] == F.col("with_reaction")), lambda x: F.struct(x["part"].alias("texto"), x["terms"].alias("terminos_match")))
     own = grouped.select("case_id", *keys, "with_reaction", fragments.alias("fragments"))
-    every = found.where("pos = -1").select(*keys, "name").join(asked.select("case_id", "name"), "name").select("case_id", *keys).distinct()
+    every = found.where("pos = -1").select(*keys, F.explode("names").alias("name")).join(asked.select("case_id", "name"), "name").select("case_id", *keys).distinct()
     same = [every[c].eqNullSafe(own[c]) for c in ("case_id", *keys)]
     empty = F.expr("cast(array() as array<struct<texto:string,terminos_match:array<string>>>)")
     out = every.join(own, same, "left").select(*(every[c] for c in ("case_id", *keys)), F.coalesce("with_reaction", F.lit(False)).alias("with_reaction"), F.coalesce("fragments", empty).alias("fragments"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.text import S, W, _real, match_fold, matching_terms, strip
+from vigilake.functions.text import S, W, _real, has_marks, match_fold, matching_terms, strip
 from vigilake.session import broadcast_if_small
 
 #: Up to so many terms are compiled; each is looked for in each text, which is slower than candidates from there on.
@@ -47,14 +47,22 @@ def reaction_hit(text: Column, term: Column) -> Column:
 
 
 def patterns_of(term: Column) -> Column:
-    """What ``pattern_hit`` needs of a term: its two regular expressions, made once for the term."""
-    exact, loose = _patterns(term, match_fold(strip(term)))
-    return F.struct(term.alias("term"), exact.alias("exact"), loose.alias("loose"))
-
-
-def pattern_hit(text: Column, folded: Column, pattern: Column) -> Column:
-    """FLT-02 for a row's text, its match_fold() and a row of patterns_of."""
-    return F.call_function("rlike", folded, pattern["loose"]) | F.call_function("rlike", text, pattern["exact"])
+    """What ``pattern_hit`` needs of a term: its two regular expressions, made once for the term, and what a text must have before they are tried."""
+    key = match_fold(strip(term))
+    exact, loose = _patterns(term, key)
+    words = F.regexp_extract_all(key, F.lit(rf"{W}+"), F.lit(0))
+    plain = (F.size(words) > 0) & ~key.rlike(r"[^\x00-\x7F]")
+    return F.struct(term.alias("term"), exact.alias("exact"), loose.alias("loose"), key.alias("key"), F.when(plain, words).alias("words"), (F.size(F.split(strip(term), rf"{S}+")) == 1).alias("one"))
+
+
+def pattern_hit(text: Column, folded: Column, pattern: Column, marked: Column | None = None) -> Column:
+    """FLT-02 for a row's text, its match_fold() and a row of patterns_of; marked: whether the text has marks of its own (``has_marks``).
+
+    Substring tests go before the regular expressions, as in ``text.term_hit``.
+    """
+    loose = folded.contains(pattern["key"]) & F.call_function("rlike", folded, pattern["loose"])
+    may = F.forall(pattern["words"], lambda x: folded.contains(x)) & (~pattern["one"] | (has_marks(text) if marked is None else marked))
+    return loose | (F.coalesce(may, F.lit(True)) & F.call_function("rlike", text, pattern["exact"]))
 
 
 def _joined(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
