@@ -303,3 +303,17 @@ def test_incremental_minutes(spark, tmp_path):
     rows = spark.read.parquet(str(target)).orderBy("filename").collect()
     assert [(r["filename"], r["date"], r["section4"], r["status"], r["chars"]) for r in rows] == [(f"{n}.pdf", "10-13 February 2025", "body", "ok", 4) for n in "ab"]
     assert sinks.merge_signals(spark.read.parquet(str(target)), spark.read.parquet(str(target))).count() == 2
+
+
+def test_few_interactions_go_to_the_pairs(spark):
+    """A few drugs that all cases have are no keys of a shuffle."""
+    cases = spark.range(300).selectExpr("id as case_id", "explode(array('a', 'b', 'c')) as inn").withColumn("pos", F.ascii("inn"))
+    known = spark.createDataFrame([("a", 1, "B", "x"), ("c", 2, "a", "y")], "inn string, int_pos int, name string, description string").repartition("inn")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = drugs.direct_interactions(cases, known)
+        assert collections.Counter(tuple(x)[1:] for x in found.collect()) == {("a", "b", "x"): 300, ("c", "a", "y"): 300}
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

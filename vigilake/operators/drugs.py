@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import bound, snippet, strip
+from vigilake.session import broadcast_if_small, spread
 
 
 def normal(name: Column) -> Column:
@@ -54,10 +55,11 @@ def direct_interactions(cases: DataFrame, interactions: DataFrame) -> DataFrame:
     only pairs that some case has meet the known interactions.
     """
     drug = F.struct("pos", F.col("inn").alias("inn"))
-    pairs = cases.groupBy("case_id").agg(F.collect_list(drug).alias("a")).select("case_id", F.col("a").alias("b"), F.explode("a").alias("x"))
+    pairs = spread(cases, "case_id").groupBy("case_id").agg(F.collect_list(drug).alias("a")).select("case_id", F.col("a").alias("b"), F.explode("a").alias("x"))
     pairs = pairs.select("case_id", "x", F.explode(F.filter("b", lambda y: y["inn"] != F.col("x.inn"))).alias("y")).select("case_id", F.col("x.pos").alias("pos"), F.col("x.inn").alias("drug1"), F.col("y.inn").alias("drug2"))
     known = interactions.groupBy(F.col("inn").alias("drug1"), F.lower("name").alias("other")).agg(F.min(F.struct("int_pos", "description")).alias("first"))
-    found = pairs.withColumn("other", F.lower("drug2")).join(known, ["drug1", "other"])
+    # few known interactions go to the pairs: as keys of a shuffle a few common drugs would be a few large tasks
+    found = pairs.withColumn("other", F.lower("drug2")).join(broadcast_if_small(known), ["drug1", "other"])
     best = F.min(F.struct("pos", F.col("first.int_pos").alias("int_pos"), "drug1", "drug2", F.col("first.description").alias("description"))).alias("x")
     return found.groupBy("case_id", F.least("drug1", "drug2").alias("lo"), F.greatest("drug1", "drug2").alias("hi")).agg(best).select("case_id", "x.drug1", "x.drug2", "x.description")
 
